@@ -144,7 +144,7 @@ class Writer:
     def __init__(self, path: str) -> None:
         where, at = fs.FileSystem.from_uri(path)
         where.create_dir(at.rpartition("/")[0], recursive=True)
-        self.file = where.open_output_stream(at)
+        self.file = where.open_output_stream(at, compression=None)
         self.file.write(MAGIC)
         self.rest = np.zeros(0, np.uint64)
         self.offsets = [np.zeros(1, np.int64)]
