@@ -21,7 +21,9 @@ from tokenizers import Tokenizer
 from tarn.llm import _text
 
 #: Words that a worker remembers; beyond it the memory starts anew.
-MEMORY = 800_000
+MEMORY = 2_500_000
+#: Of them, pieces whose ids are kept by name.
+PIECES = 200_000
 
 #: Letters whose lower case is one letter and which no normal form changes, then punctuation that no contraction begins with.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -82,19 +84,21 @@ class WordCoder:
         return found
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # ascending
+        self.at = np.zeros(0, np.int32)
         self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[int], spans: list[str]) -> None:
-        if len(self.pieces) > MEMORY // 4:
+    def _learn(self, keys: np.ndarray, spans: list[str]) -> np.ndarray:
+        """Remembers new words; gives their places."""
+        if len(self.pieces) > PIECES:
             self.pieces = {}
         found = self._library(spans)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total, k = int(lengths.sum()), len(self.place)
+        total, k = int(lengths.sum()), len(self.keys)
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < k + len(keys):
@@ -104,8 +108,11 @@ class WordCoder:
         self.starts[k : k + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[k : k + len(keys)] = lengths
         self.used += total
-        for i, key in enumerate(keys):
-            self.place[key] = k + i
+        places = k + np.arange(len(keys), dtype=np.int32)
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.at = all_keys[order], np.concatenate([self.at, places])[order]
+        return places
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array and n + 1 offsets; ``end`` is appended to each text."""
@@ -113,20 +120,20 @@ class WordCoder:
         ws, we, word_off = _text.words(buf, off)
         h = _text.hash_spans(buf, ws, we)
         codes, distinct = pd.factorize(h)
-        keys = distinct.tolist()
-        places = np.fromiter(map(self.place.get, keys, [-1] * len(keys)), np.int64, len(keys))
+        places = np.full(len(distinct), -1, np.int64)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            places = np.where(self.keys[near] == distinct, self.at[near], -1)
         new = np.flatnonzero(places < 0)
         if len(new):
-            if len(self.place) + len(new) > MEMORY:
+            if len(self.keys) + len(new) > MEMORY:
                 self._forget()
-                new = np.arange(len(keys))
-            first = np.full(len(keys), -1, np.int64)
+                new = np.arange(len(distinct))
+            first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw = buf.tobytes()
             spans = [raw[a:b].decode() for a, b in zip(ws[first[new]].tolist(), we[first[new]].tolist())]
-            k = len(self.place)
-            self._learn([keys[i] for i in new.tolist()], spans)
-            places[new] = k + np.arange(len(new))
+            places[new] = self._learn(distinct[new], spans)
         at = places[codes]
         lengths = self.lengths[at]
         ids = self.flat[_text.ragged(self.starts[at], lengths)]

@@ -40,8 +40,9 @@ _LOW = U64((1 << 60) - 1)
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs (at least 1)."""
-    v = values.astype(np.uint64)
-    out = np.ones(len(v), np.uint8)
+    if not len(values) or int(values.max()) < 1 << 24:
+        return np.maximum(np.frexp(values.astype(np.float32))[1], 1).astype(np.uint8)
+    v, out = values.astype(np.uint64), np.ones(len(values), np.uint8)
     for b in (32, 16, 8, 4, 2, 1):
         big = v >= (U64(1) << U64(b))
         out[big] += b
@@ -51,35 +52,44 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The words of all blocks, and for each block its first word's place (n_blocks + 1 of them)."""
-    values = np.asarray(values, np.uint64)
     n = len(values)
     n_blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     bits = _bits(values)
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
-    # the densest selector that each place could begin: later (wider) ones are overwritten by earlier ones
+    most = int(bits.max())
+    room = block - np.arange(n, dtype=np.int32) % block
+    room[(n_blocks - 1) * block :] = n - np.arange((n_blocks - 1) * block, n)
+    # the densest selector that each place could begin: wider ones are overwritten by denser ones
     choice = np.zeros(n, np.uint8)
-    step = np.ones(n, np.int64)
-    place = np.arange(n)
+    step = np.ones(n, np.int32)
     for s in sorted(WIDTHS, reverse=True):
         width, count = WIDTHS[s]
-        wide = np.where(bits > width, place, n)
-        first_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        take = np.minimum(count, ends - place)
-        fits = first_wide >= place + take
-        choice[fits] = s
-        step[fits] = take[fits]
+        if most <= width:  # it fits everywhere
+            choice[:] = s
+            np.minimum(room, count, out=step)
+            continue
+        narrow = np.flatnonzero(bits <= width)
+        if not len(narrow):
+            break
+        take = np.minimum(room[narrow], count)
+        last = np.flatnonzero(np.append(np.diff(narrow) > 1, True))
+        run_end = np.repeat(narrow[last] + 1, np.diff(last, prepend=-1))
+        fits = run_end - narrow >= take
+        at = narrow[fits]
+        choice[at] = s
+        step[at] = take[fits]
     # all blocks advance together, a word at a time
     at = np.arange(n_blocks) * block
     stop = np.minimum(at + block, n)
     starts, owners = [], []
     live = np.arange(n_blocks)
     while len(live):
-        starts.append(at[live])
+        now = at[live]
+        starts.append(now)
         owners.append(live)
-        at[live] += step[at[live]]
-        live = live[at[live] < stop[live]]
+        at[live] = now = now + step[now]
+        live = live[now < stop[live]]
     start, owner = np.concatenate(starts), np.concatenate(owners)
     order = np.argsort(start, kind="stable")
     start, owner = start[order], owner[order]
@@ -91,11 +101,15 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         mine = np.flatnonzero(sel == s)
         if not len(mine):
             continue
-        idx = start[mine][:, None] + np.arange(count)
-        inside = idx < ends[start[mine]][:, None]
-        vals = np.where(inside, values[np.minimum(idx, n - 1)], U64(0))
-        packed = (vals << (U64(width) * np.arange(count, dtype=np.uint64))).sum(1, dtype=np.uint64)
-        out[word_at[mine]] = packed | (U64(s) << U64(60))
+        first, taken = start[mine], step[start[mine]]
+        packed = np.full(len(mine), U64(s) << U64(60))
+        for j in range(count):
+            has = j < taken
+            if has.all():
+                packed |= values[first + j].astype(np.uint64) << U64(width * j)
+            else:
+                packed[has] |= values[first[has] + j].astype(np.uint64) << U64(width * j)
+        out[word_at[mine]] = packed
     escaped = np.flatnonzero(sel == ESCAPE)
     out[word_at[escaped] + 1] = values[start[escaped]]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=words_of, minlength=n_blocks).astype(np.int64))])
@@ -146,7 +160,7 @@ class Writer:
         where.create_dir(at.rpartition("/")[0], recursive=True)
         self.file = where.open_output_stream(at, compression=None)
         self.file.write(MAGIC)
-        self.rest = np.zeros(0, np.uint64)
+        self.rest = np.zeros(0, np.int32)
         self.offsets = [np.zeros(1, np.int64)]
         self.words = self.n_ids = 0
         self.counts: list[np.ndarray] = []
@@ -164,7 +178,7 @@ class Writer:
         self.doc_ids.append(np.asarray(doc_ids.fill_null(0)).astype("<i8"))
         self.counts.append(np.diff(off))
         self.n_ids += len(ids)
-        values = np.concatenate([self.rest, ids.astype(np.uint64)])
+        values = np.concatenate([self.rest, ids])
         full = len(values) // BLOCK * BLOCK
         self._put(values[:full])
         self.rest = values[full:]
