@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import _store, mil, multiset, packing, rules, simple8b, warc
+from tarn.llm import _store, bpe, html, mil, multiset, packing, rules, simple8b, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = "word_bpe_49k.json"
+MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,14 @@ def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", multiset.as_string("fp").alias("fingerprint"), multiset.as_string("efp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
+
+
+def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -56,6 +65,8 @@ def queries() -> dict[str, Query]:
         "op3_rule_ledger": op3_rule_ledger,
         "op4_packing": op4_packing,
         "op5_multiset_hash": op5_multiset_hash,
+        "op6_duckdb_bpe": op6_duckdb_bpe,
+        "op8_tag_paths": op8_tag_paths,
         "op10_warc": op10_warc,
     }
 
