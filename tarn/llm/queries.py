@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import _store, bpe, html, mil, multiset, packing, rules, simple8b, warc
+from tarn.llm import _store, bpe, forest, html, mil, multiset, packing, rules, simple8b, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op5_multiset_hash": op5_multiset_hash,
         "op6_duckdb_bpe": op6_duckdb_bpe,
         "op8_tag_paths": op8_tag_paths,
+        "op9_lsh_forest": op9_lsh_forest,
         "op10_warc": op10_warc,
     }
 
@@ -75,6 +80,16 @@ def queries() -> dict[str, Query]:
 _BASE32 = "list_reduce(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha, CAST(c // 4 * 5 + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - c % 4 * 5 AS INTEGER)) & 31) + 1)::BIGINT, 1)), lambda a, b: a || b)"
 
 ORACLES = {
+    "op9_lsh_forest": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE c >= 0.8 * (na.n + nb.n - c)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+        k AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+        SELECT doc_id, min(r.y) AS class_id, CAST(coalesce(any_value(n_links), 0) AS BIGINT) AS n_links
+        FROM d JOIN r ON r.x = doc_id LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
     "op10_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
         f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
