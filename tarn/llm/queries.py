@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import _store, bpe, forest, html, mil, multiset, packing, rules, simple8b, warc
+from tarn.llm import _store, bpe, forest, html, mil, multiset, packing, rules, simple8b, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
 
+def op7_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.spans(_table(spark, sf_dir, "documents"))
+
+
 def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_multiset_hash": op5_multiset_hash,
         "op6_duckdb_bpe": op6_duckdb_bpe,
+        "op7_sparse_suffix": op7_sparse_suffix,
         "op8_tag_paths": op8_tag_paths,
         "op9_lsh_forest": op9_lsh_forest,
         "op10_warc": op10_warc,
@@ -80,6 +85,14 @@ def queries() -> dict[str, Query]:
 _BASE32 = "list_reduce(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha, CAST(c // 4 * 5 + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - c % 4 * 5 AS INTEGER)) & 31) + 1)::BIGINT, 1)), lambda a, b: a || b)"
 
 ORACLES = {
+    "op7_sparse_suffix": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS i, w FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS g FROM p),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) = 1 AS is_first FROM g),
+        s AS (SELECT doc_id, i, is_first, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, is_first ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM r WHERE n > 1),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY i) AS k FROM s)
+        SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word, is_first FROM k GROUP BY doc_id, is_first, k""",
     "op9_lsh_forest": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
