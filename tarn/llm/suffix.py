@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Dat
     found = spans(docs).where("NOT is_first").groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     found = _store.written(found, "cuts")
     names, at, key = docs.columns, docs.columns.index("text"), docs.columns.index("doc_id")
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    held = [f"c{i}" for i in range(len(names))]
+    inner = docs.toDF(*held)
     on = F.col(f"c{key}") == F.col("of")
     joined = inner.join(F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge"), on, "left").drop("of")
     length = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else -1
@@ -310,7 +311,7 @@ def remove_repeats(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Dat
                 if length >= 0:
                     old = columns[length].to_pylist()
                     columns[length] = pa.array([o if not c else len(t or "") for o, c, t in zip(old, pairs, new)], columns[length].type)
-            yield pa.RecordBatch.from_arrays(columns, inner.columns)
+            yield pa.RecordBatch.from_arrays(columns, held)
 
-    schema = T.StructType([T.StructField(c, f.dataType, True) for c, f in zip(inner.columns, docs.schema)])
+    schema = T.StructType([T.StructField(c, f.dataType, True) for c, f in zip(held, docs.schema)])
     return joined.mapInArrow(rows, schema).toDF(*names)
