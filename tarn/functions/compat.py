@@ -44,7 +44,7 @@ def regexp_match(text: Column, pattern: str, group: int = 0) -> Column:
 def date_bin(seconds: int, ts: Column, origin: str = "1970-01-01 00:00:00") -> Column:
     """Start of the bin of so many seconds, counted from the origin."""
     zero = F.lit(origin).cast("timestamp").cast("long")
-    return F.timestamp_seconds(F.floor((F.unix_micros(ts) / 1e6 - zero) / seconds) * seconds + zero)
+    return F.timestamp_seconds(F.floor((F.unix_micros(ts.cast("timestamp")) / 1e6 - zero) / seconds) * seconds + zero)
 
 
 def day_of_week(ts: Column) -> Column:

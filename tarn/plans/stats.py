@@ -67,7 +67,7 @@ class Catalog:
 
 def size_of(df: DataFrame) -> int:
     """Catalyst's estimate of a relation's bytes: for files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcastable(df: DataFrame, limit: int) -> bool:

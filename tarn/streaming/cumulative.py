@@ -19,7 +19,7 @@ def late_filter(batch: DataFrame, column: str, delay: float) -> DataFrame:
     one-row aggregate that joins back as a broadcast.
     """
     kind = dict(batch.dtypes)[column]
-    at = F.unix_micros(column) / 1e6 if kind.startswith("timestamp") else F.col(column).cast("double")
+    at = F.unix_micros(F.col(column).cast("timestamp")) / 1e6 if kind.startswith("timestamp") else F.col(column).cast("double")
     latest = batch.agg(F.max(at).alias("__latest"))
     scale = F.lit(1.0) if kind.startswith("timestamp") else F.when(F.col("__latest") > 1e12, 1000.0).otherwise(1.0)
     return batch.join(F.broadcast(latest), at >= F.col("__latest") - delay * scale).select(*batch.columns)
