@@ -83,7 +83,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(newline)
     line_starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
     line_starts = line_starts[line_starts < len(buf)]
-    line_ends = np.append(line_starts[1:], len(buf))
+    line_ends = np.append(line_starts[1:], len(buf))[: len(line_starts)]
     line_ends = np.where((line_ends > line_starts) & newline[line_ends - 1], line_ends - 1, line_ends)
     has_word = np.searchsorted(ws, line_ends) > np.searchsorted(ws, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
