@@ -173,8 +173,12 @@ def matches(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray
         mine, window = mine[order], window[order]
         new = np.append(True, window[1:] != window[:-1])
         group = np.cumsum(new) - 1
-        again = ((np.bincount(group) > 1) | (np.bincount(group, weights=several[mine]) > 0))[group]
-        found.append((mine[again], pos[mine[again]] - extend, new[again]))
+        twin = ~new  # the same place once more, from a repeated row
+        twin[1:] &= (doc[mine[1:]] == doc[mine[:-1]]) & (pos[mine[1:]] == pos[mine[:-1]])
+        places = np.bincount(group, weights=~twin)
+        again = ((places > 1) | (np.bincount(group, weights=several[mine]) > 0))[group]
+        is_first = new[np.maximum.accumulate(np.where(twin, 0, np.arange(len(mine))))]
+        found.append((mine[again], pos[mine[again]] - extend, is_first[again]))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(bool)
