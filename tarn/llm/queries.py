@@ -124,7 +124,7 @@ ORACLES = {
               FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l2 USING (doc_id)),
         b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (5 * n_bangs > n_words)::INT
                      + 16 * (100 * n_upper > 30 * word_chars)::INT + 32 * (10 * word_chars < 25 * n_words OR word_chars > 12 * n_words)::INT
-                     + 64 * (100 * n_dup_lines > 30 * n_lines)::INT AS BIGINT) AS failed_bits FROM m)
+                     + 64 * (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)::INT AS BIGINT) AS failed_bits FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b""",
 }
 

@@ -36,7 +36,7 @@ RULES: dict[str, str] = {
     "bangs": "5 * n_bangs > n_words",
     "capitals": "100 * n_upper > 30 * word_chars",
     "word_length": "10 * word_chars < 25 * n_words OR word_chars > 12 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines",
 }
 BASE = ("few_words", "repeated_words")
 
