@@ -35,7 +35,7 @@ TREES = 16
 DEPTH = 5
 RECALL = 0.999
 #: Shingles that one block of a group holds, about.
-BLOCK = 400_000
+BLOCK = 30_000
 #: Representatives whose membership may be broadcast (16 bytes each); beyond it texts and membership are shuffled.
 BROADCAST_ROWS = 1_000_000
 
