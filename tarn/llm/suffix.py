@@ -11,9 +11,11 @@ found, and nothing else: each passage is judged at the one minimiser that its
 own words select.
 
 A suffix carries its surroundings as 16-bit word hashes, ``W - 1`` words to
-each side, so texts are read once and never shuffled.  Each task first merges
-suffixes with equal surroundings, so a passage that very many documents share
-reaches the shuffle once per task.
+each side, so texts are never shuffled.  Each task first merges suffixes with
+equal surroundings.  Of runs that very many suffixes begin with (found in a
+sample of the documents, which only steers the work) each passage is a row of
+its own, keyed and merged by the passage alone, so however many documents share
+it, it reaches the shuffle once per task.
 
 A null text counts as empty; texts of fewer words than a passage have no spans;
 of equal passages the first is that of the least doc_id and position; rows that
@@ -42,6 +44,9 @@ MERGE = 16 << 20
 #: Documents with spans whose ids may be broadcast (bytes checked by rows); beyond it texts and spans are shuffled.
 BROADCAST_ROWS = 100_000
 
+#: One document in so many is counted to find runs that very many suffixes begin with.
+SAMPLE = 32
+
 U64 = np.uint64
 _SCHEMA = "key long, doc_id long, pos int, lo int, hi int, sides binary, others binary"
 
@@ -126,7 +131,61 @@ def _merged(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(doc[head]), pa.array(pos[head].astype(np.int32)), pa.array(least[head].astype(np.int32)), pa.array(most[head].astype(np.int32)), binary, pa.array(others, pa.binary())], ["key", "doc_id", "pos", "lo", "hi", "sides", "others"])
 
 
-def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _around(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 0 to SIDE nearest words to the left, and to the right, of each suffix."""
+    left = np.zeros((SIDE + 1, len(sides)), np.uint64)
+    right = np.zeros((SIDE + 1, len(sides)), np.uint64)
+    for j in range(SIDE):
+        left[j + 1] = _text.mix64(left[j] + sides[:, j].astype(np.uint64) + U64(0x9E3779B97F4A7C15))
+        right[j + 1] = _text.mix64(right[j] + sides[:, SIDE + j].astype(np.uint64) + U64(0xC2B2AE3D27D4EB4F))
+    return left, right
+
+
+def _passage(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _text.mix64(key ^ _text.mix64(left.copy()) ^ (right << U64(1)))
+
+
+def _apart(kept: tuple[np.ndarray, ...], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The suffixes with those of hot keys replaced by a row for each of their passages, which holds the passage's words alone."""
+    key, doc, pos, least, most, sides = kept
+    is_hot = np.isin(key, hot)
+    if not is_hot.any():
+        return kept
+    at = np.flatnonzero(is_hot)
+    rows = np.repeat(at, most[at] - least[at] + 1)
+    extend = _text.ragged(least[at], most[at] - least[at] + 1)
+    left, right = _around(sides[at])
+    local = np.repeat(np.arange(len(at)), most[at] - least[at] + 1)
+    keys = _passage(key[rows] + extend.astype(np.uint64), left[extend, local], right[SIDE - extend, local])
+    own = sides[rows]
+    place = np.arange(SIDE)
+    own[:, :SIDE][place >= extend[:, None]] = 0
+    own[:, SIDE:][place >= SIDE - extend[:, None]] = 0
+    rest = ~is_hot
+    new = (keys, doc[rows], pos[rows], extend, extend, own)
+    return tuple(np.concatenate([old[rest], more]) for old, more in zip(kept, new))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of suffixes and their counts, merged by batch."""
+    for batch in batches:
+        text = batch.column("text")
+        for a, b in _text.pieces(text):
+            key, count = np.unique(suffixes(text.slice(a, b - a))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+
+
+def hot_keys(rows: DataFrame) -> np.ndarray:
+    """Keys with more than an eighth of a partition's share of the suffixes, 8 for each partition at most."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
+    counts = _store.written(sample.mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "suffix-keys")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n = 8 * _store.partitions(rows.sparkSession)
+    found = counts.where(F.col("n") >= max(8, total / n)).orderBy(F.desc("n"), "key").limit(n).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64)).view(np.uint64)
+
+
+def _select(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
@@ -134,7 +193,7 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _text.pieces(text):
             key, owner, pos, least, most, sides = suffixes(text.slice(a, b - a))
             mine = np.asarray(ids.slice(a, b - a).fill_null(np.iinfo(np.int64).max))
-            held.append((key, mine[owner], pos, least, most, sides))
+            held.append(_apart((key, mine[owner], pos, least, most, sides), hot))
             size += text.slice(a, b - a).nbytes
             if size >= MERGE:
                 yield from _out(held)
@@ -156,19 +215,14 @@ def matches(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray
     and the words to the right; neighbours that agree on PASSAGE words repeat
     each other.  ``several`` marks rows that already stand for several places.
     """
-    n = len(key)
-    left = np.zeros((SIDE + 1, n), np.uint64)
-    right = np.zeros((SIDE + 1, n), np.uint64)
-    for j in range(SIDE):
-        left[j + 1] = _text.mix64(left[j] + sides[:, j].astype(np.uint64) + U64(0x9E3779B97F4A7C15))
-        right[j + 1] = _text.mix64(right[j] + sides[:, SIDE + j].astype(np.uint64) + U64(0xC2B2AE3D27D4EB4F))
+    left, right = _around(sides)
     by_place = np.lexsort((pos, doc))
     found = []
     for extend in range(SIDE + 1):
         mine = by_place[((least <= extend) & (extend <= most))[by_place]]
         if not len(mine):
             continue
-        window = _text.mix64(key[mine] ^ _text.mix64(left[extend][mine]) ^ (right[SIDE - extend][mine] << U64(1)))
+        window = _passage(key[mine], left[extend][mine], right[SIDE - extend][mine])
         order = np.argsort(window, kind="stable")  # by doc_id and position among equals
         mine, window = mine[order], window[order]
         new = np.append(True, window[1:] != window[:-1])
@@ -269,7 +323,8 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, is_first: what each document has of repeated passages, the first occurrence apart from the later ones."""
     n = _store.partitions(docs.sparkSession)
     rows = _rows.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = rows.mapInArrow(_select, _SCHEMA).repartition(n, "key").sortWithinPartitions("key")
+    hot = hot_keys(rows)
+    kept = rows.mapInArrow(lambda batches: _select(batches, hot), _SCHEMA).repartition(n, "key").sortWithinPartitions("key")
     found = kept.mapInArrow(_compare, "doc_id long, start_word int, end_word int, is_first boolean")
     found = found.repartition(n, "doc_id").sortWithinPartitions("doc_id", "is_first", "start_word", "end_word")
     found = found.mapInArrow(_joined, "doc_id long, start_word int, end_word int, is_first boolean")

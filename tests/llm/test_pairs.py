@@ -300,3 +300,14 @@ def test_common_sizes():
     first, second = np.array([0, 2, 4]), np.array([1, 2, 8])
     got = forest._common(sets, first, second)
     assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(first) for j, b in enumerate(second))
+
+
+def test_spans_of_hot_runs(spark, monkeypatch):
+    rows = list(enumerate(repeated_texts(5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.select("doc_id", "text")
+    monkeypatch.setattr(suffix, "SAMPLE", 1)
+    hot = suffix.hot_keys(texts)
+    assert len(hot)
+    monkeypatch.setattr(suffix, "hot_keys", lambda _: hot)
+    assert {tuple(r) for r in suffix.spans(docs).collect()} == brute_spans(rows)
