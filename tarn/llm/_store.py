@@ -18,12 +18,24 @@ _own: dict[str, str] = {}
 _made: list[str] = []
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; wherever tasks run, the same."""
+    for scheme in ("s3a://", "s3n://"):
+        uri = uri.replace(scheme, "s3://", 1) if uri.startswith(scheme) else uri
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         top = _own.setdefault("top", tempfile.mkdtemp(prefix="tarn-"))
-    _made.append(path := f"{top.rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}")
+    here = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}")
+    # a path without scheme lies where Hadoop's configuration says
+    path = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(here).toString()
+    _made.append(path)
     return path
 
 
@@ -31,14 +43,14 @@ def shared(spark: SparkSession, name: str) -> str:
 def _clean() -> None:
     for path in _made + list(_own.values()):
         with contextlib.suppress(Exception):
-            where, at = fs.FileSystem.from_uri(path)
+            where, at = opened(path)
             where.delete_dir(at)
 
 
 def drop(path: str) -> None:
     """Removes a path that nothing reads any more."""
     with contextlib.suppress(OSError):
-        where, at = fs.FileSystem.from_uri(path)
+        where, at = opened(path)
         where.delete_dir(at)
 
 

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +155,7 @@ class Writer:
     """Writes one file; ids go to disk as blocks fill."""
 
     def __init__(self, path: str) -> None:
-        where, at = fs.FileSystem.from_uri(path)
+        where, at = _store.opened(path)
         where.create_dir(at.rpartition("/")[0], recursive=True)
         self.file = where.open_output_stream(at, compression=None)
         self.file.write(MAGIC)
@@ -198,7 +197,7 @@ class Writer:
 
 def read(path: str, stretch: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """doc_ids, validity and ids of a file's documents, a stretch of blocks at a time."""
-    where, at = fs.FileSystem.from_uri(path)
+    where, at = _store.opened(path)
     with where.open_input_file(at) as f:
         size = f.size()
         tail = f.read_at(16, size - 16)

@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +112,7 @@ def write(pages: DataFrame, directory: str, least: int = 0) -> DataFrame:
                 page_id, url, html, refers_to = (c[i].as_py() for c in batch.columns)
                 if out is None:
                     path = f"{directory}/pages-{uuid.uuid4().hex}.warc.gz"
-                    where, at = fs.FileSystem.from_uri(path)
+                    where, at = _store.opened(path)
                     where.create_dir(at.rpartition("/")[0], recursive=True)
                     out = where.open_output_stream(at, compression=None)
                 out.write(member := record(page_id, url, html.encode(), refers_to))
@@ -127,7 +126,7 @@ def write(pages: DataFrame, directory: str, least: int = 0) -> DataFrame:
 
 def members(path: str, start: int, end: int, fetch: int = FETCH) -> Iterator[tuple[int, bytes]]:
     """Offset and inflated bytes of the members that start in a byte range and hold a WARC record."""
-    where, at = fs.FileSystem.from_uri(path)
+    where, at = _store.opened(path)
     with where.open_input_file(at) as f:
         size = f.size()
         base, held = start, b""
