@@ -108,9 +108,10 @@ def in_order(docs: DataFrame, columns: list[str]) -> DataFrame:
     doc_id ranges of about equal counts are windows of their own; the first
     document of a range is also handed to the range before it.
     """
-    n = 8 * _store.partitions(docs.sparkSession)
-    shares = [i / n for i in range(1, n)]
-    edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10000).alias("e")).first()["e"]
+    parts = _store.partitions(docs.sparkSession)
+    n = max(8 * min(parts, 1000), 2 * parts)
+    shares = "array(" + ", ".join(f"{i / n}D" for i in range(1, n)) + ")"
+    edges = docs.agg(F.expr(f"percentile_approx(CAST(doc_id AS BIGINT), {shares}, {max(10000, 4 * n)})").alias("e")).first()["e"]
     bucket = F.coalesce(F.expr(_below(sorted(set(edges or [])), "doc_id")), F.lit(0)).cast("int")
     placed = docs.withColumn("bucket", bucket)
     # one row per range: their number depends on the partitions, not on the documents
@@ -120,8 +121,8 @@ def in_order(docs: DataFrame, columns: list[str]) -> DataFrame:
     present = sorted(heads)
     goes = {b: present[(i + 1) % len(present)] for i, b in enumerate(present)}
     size = present[-1] + 1
-    head = F.array(*(F.lit(heads.get(b)).cast("long") for b in range(size)))
-    to = F.array(*(F.lit(goes.get(b, 0)) for b in range(size)))
+    head = F.expr("array(" + ", ".join(f"{heads[b]}L" if heads.get(b) is not None else "CAST(NULL AS BIGINT)" for b in range(size)) + ")")
+    to = F.expr("array(" + ", ".join(str(goes.get(b, 0)) for b in range(size)) + ")")
     at = F.col("bucket")
     own = F.struct(at.alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.get(to, at).alias("bucket"), F.lit(1).alias("guest"))
