@@ -36,7 +36,7 @@ DEPTH = 5
 RECALL = 0.999
 #: Shingles that one block of a group holds, about.
 BLOCK = 30_000
-#: Representatives whose membership may be broadcast (16 bytes each); beyond it texts and membership are shuffled.
+#: Rows of ids (about 40 bytes each) that may be broadcast; beyond it they and the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 U64 = np.uint64
@@ -311,13 +311,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     return sketched.join(named, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).select("doc_id", "class_id", "n_links")
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One document of each class, that of the least doc_id, with all its columns."""
     found = _store.written(classes(docs, threshold), "classes")
     kept = _store.written(found.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     key = f"c{docs.columns.index('doc_id')}"
-    joined = inner.join(kept, F.col(key) == F.col("kept_id"))
+    joined = inner.join(F.broadcast(kept) if kept.count() <= broadcast_rows else kept.hint("merge"), F.col(key) == F.col("kept_id"))
     once = joined.where("kept_rows = 1").select(*inner.columns)
     again = joined.where("kept_rows > 1").select(*inner.columns).dropDuplicates([key])
     return once.union(again).toDF(*docs.columns)

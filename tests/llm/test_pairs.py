@@ -102,6 +102,7 @@ def test_classes_of_awkward_documents(awkward, nothing):
     kept = forest.keep_first(awkward)
     assert kept.columns == awkward.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in want.values()})
+    assert sorted(r["doc_id"] for r in forest.keep_first(awkward, broadcast_rows=0).collect()) == sorted(r["doc_id"] for r in kept.collect())
     assert forest.keep_first(nothing).count() == 0
 
 
