@@ -12,10 +12,11 @@ Groups of any size are verified in blocks of bounded bytes, pair of blocks by
 pair of blocks; what leaves a block is one row per text (its number of links
 and its class there), never the pairs.
 
-A null text counts as empty; empty texts are copies of one another; equal
-doc_ids with unlike texts are linked as other documents are; repeated rows
-count as copies; an empty table gives an empty result; further columns of the
-input are ignored.
+A null text counts as empty; empty texts are copies of one another; repeated
+rows count as copies, and unlike texts under one doc_id as documents of their
+own; documents without doc_id take part, but do not name a class unless it has
+no others (null then); an empty table gives an empty result; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BLOCK = 30_000
 BROADCAST_ROWS = 1_000_000
 
 U64 = np.uint64
+#: Stands for a missing doc_id inside.
+_NO_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 _ODD = (_RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -93,6 +96,10 @@ def signatures(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return _rows.texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (the word sequence), n (runs) and sig of every document."""
 
@@ -106,7 +113,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.arange(b - a + 1) * width).astype(np.int32)), pa.py_buffer(sig.astype("<u2").tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(off)), packed], ["doc_id", "k1", "k2", "n", "sig"])
 
-    rows_of = _rows.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows_of = _numbered(docs)
     return rows_of.mapInArrow(rows, "doc_id long, k1 long, k2 long, n long, sig binary")
 
 
@@ -270,54 +277,59 @@ def _verify_groups(threshold: float):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct runs of each text, as bytes, beside the other columns."""
+    """The distinct runs of each text that its row's node names, as bytes, beside the other columns."""
     for batch in batches:
         text = batch.column("text")
         rest = [c for c in batch.schema.names if c != "text"]
         for a, b in _text.pieces(text):
-            g, off, _, _ = shingles(text.slice(a, b - a))
-            runs = pa.array([np.unique(g[off[i] : off[i + 1]]).astype("<u8").tobytes() for i in range(b - a)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in rest), runs], [*rest, "runs"])
+            g, off, node, _ = shingles(text.slice(a, b - a))
+            own = np.flatnonzero(node.view(np.int64) == np.asarray(batch.column("rep").slice(a, b - a)))
+            runs = pa.array([np.unique(g[off[i] : off[i + 1]]).astype("<u8").tobytes() for i in own.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(pa.array(own)) for c in rest), runs], [*rest, "runs"])
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (documents as similar as the threshold) of every document."""
     spark = docs.sparkSession
     sketched = _store.written(sketch(docs), "sketch")
-    reps = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("sig").alias("sig"))
-    reps = _store.written(reps, "reps")
-    # a doc_id that stands for two texts would be one node; such rows keep their copies but get a node of their own
+    # a node is a word sequence, by its first key; the document that shows its text is the one of least doc_id
+    reps = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("sig").alias("sig"))
+    reps = _store.written(reps.withColumnRenamed("k1", "rep"), "reps")
     members = _components.components(candidates(reps, prefix_length(threshold, recall)))
     members = members.select(F.col("node").alias("rep"), F.col("root").alias("comp")).union(members.select(F.col("root").alias("rep"), F.col("root").alias("comp")).distinct())
-    members = _store.written(members.join(reps.select("rep", "copies", "n"), "rep"), "members")
+    members = _store.written(members.join(reps.select("rep", "first", "copies", "n"), "rep"), "members")
     sizes = members.groupBy(F.col("comp").alias("of")).agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     sizes = _store.written(sizes, "sizes")
     members = members.join(sizes, F.col("comp") == F.col("of")).drop("of", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = _store.written(members, "members")
-    n_members = members.count()
-    texts = _rows.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    on = F.col("doc_id") == F.col("rep")
-    texts = texts.join(F.broadcast(members), on) if n_members <= broadcast_rows else texts.join(members.hint("merge"), on)
-    runs = texts.drop("doc_id").mapInArrow(_runs, "rep long, comp long, copies long, blocks int, block int, runs binary")
+    on = F.col("doc_id") == F.col("first")
+    texts = _numbered(docs).join(F.broadcast(members) if members.count() <= broadcast_rows else members.hint("merge"), on)
+    runs = texts.drop("doc_id", "first").mapInArrow(_runs, "rep long, comp long, copies long, blocks int, block int, runs binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = runs.select("rep", "comp", "copies", "block", "runs", other.alias("other")).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "copies", "block", "runs")
     placed = placed.repartition(_store.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
     linked = _store.written(placed.mapInArrow(_verify_groups(threshold), "u long, v long, links long"), "links")
     roots = _components.components(linked.select("u", "v"))
     counts = linked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    named = reps.select("k1", "k2", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left")
-    named = named.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = reps.select("rep", "k2", "first", "copies").join(roots, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left")
+    named = _store.written(named.select("rep", "k2", "first", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    least = _store.written(named.groupBy(F.col("root").alias("class")).agg(F.min("first").alias("class_id")), "class-ids")
+    named = named.join(least, F.col("root") == F.col("class")).select(F.col("rep").alias("r1"), F.col("k2").alias("r2"), "class_id", "n_links")
     named = _store.written(named, "named")
-    return sketched.join(named, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).select("doc_id", "class_id", "n_links")
+    joined = sketched.join(named, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
+    return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(_NO_ID)).alias("class_id"), "n_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all its columns."""
+    """One document of each class, that of the least doc_id, with all its columns.
+
+    Rows of one doc_id are taken as one document repeated; rows without doc_id all stay.
+    """
     found = _store.written(classes(docs, threshold), "classes")
-    kept = _store.written(found.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
+    kept = _store.written(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "kept")
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     key = f"c{docs.columns.index('doc_id')}"
     joined = inner.join(F.broadcast(kept) if kept.count() <= broadcast_rows else kept.hint("merge"), F.col(key) == F.col("kept_id"))
     once = joined.where("kept_rows = 1").select(*inner.columns)
     again = joined.where("kept_rows > 1").select(*inner.columns).dropDuplicates([key])
-    return once.union(again).toDF(*docs.columns)
+    return once.union(again).union(inner.where(F.col(key).isNull())).toDF(*docs.columns)

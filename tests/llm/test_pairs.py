@@ -312,3 +312,15 @@ def test_spans_of_hot_runs(spark, monkeypatch):
     assert len(hot)
     monkeypatch.setattr(suffix, "hot_keys", lambda _: hot)
     assert {tuple(r) for r in suffix.spans(docs).collect()} == brute_spans(rows)
+
+
+def test_rows_without_doc_id_and_doc_ids_of_two_texts(spark):
+    a, b, c = near_copies(3, 8)
+    rows = [(None, a), (None, "other words of this row here"), (4, b), (4, "quite another text under the same number"), (2, c), (2, c), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in forest.classes(docs).collect())
+    assert got == Counter([(None, 2, 3), (4, 2, 3), (2, 2, 3), (2, 2, 3), (None, None, 0), (4, 4, 0), (None, None, 0)])
+    assert Counter(r["doc_id"] for r in forest.keep_first(docs).collect())[None] == 3
+    big = spark.createDataFrame([(None, "p " + a), (1, a), (None, "p " + a)], "doc_id long, text string")
+    assert {tuple(r) for r in suffix.spans(big).collect()} == {(1, 0, 120, True), (None, 1, 121, False)}
+    assert suffix.remove_repeats(big).count() == 3
