@@ -13,8 +13,20 @@ from pyspark.sql import types as T
 from tarn.llm import _text
 
 
+#: Rows of an Arrow batch where the session leaves it at Spark's default: texts are long.
+BATCH_ROWS = "2000"
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Texts reach Python in batches of fewer rows than Spark's default, unless the session has set a number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, BATCH_ROWS)
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text, under the names doc_id and text."""
+    small_batches(docs)
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
@@ -24,6 +36,7 @@ def id_type(docs: DataFrame, id_column: str = "doc_id") -> str:
 
 def keep_where(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """The rows whose text decide() marks, with all their columns whatever their names."""
+    small_batches(docs)
     at = docs.columns.index(text)
     inner = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)])
 
@@ -39,6 +52,7 @@ def keep_where(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], text:
 
 def with_measures(docs: DataFrame, measure: Callable[[pa.Array], dict[str, np.ndarray]], names: tuple[str, ...], text: str = "text") -> DataFrame:
     """Every row as the struct column ``row`` beside the long measurements of its text."""
+    small_batches(docs)
     at = docs.columns.index(text)
     row = T.StructType([T.StructField("row", docs.schema, False)])
     schema = T.StructType([*row, *(T.StructField(n, T.LongType(), False) for n in names)])

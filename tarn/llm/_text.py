@@ -8,6 +8,7 @@ byte-level splitting is exact for UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives memory that is free to the system: workers live on and share a machine with their JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def pieces(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text (or one longer row)."""
     _, off = as_bytes(column)
     a, n = 0, len(column)
@@ -69,6 +80,7 @@ def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    release()
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

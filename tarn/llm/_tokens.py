@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from tarn.llm import _text
 
 #: Words that a worker remembers; beyond it the memory starts anew.
-MEMORY = 2_500_000
+MEMORY = 1_500_000
 #: Of them, pieces whose ids are kept by name.
 PIECES = 200_000
 
@@ -88,8 +88,8 @@ class WordCoder:
         self.at = np.zeros(0, np.int32)
         self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.lengths = np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _learn(self, keys: np.ndarray, spans: list[str]) -> np.ndarray:
@@ -135,8 +135,8 @@ class WordCoder:
             spans = [raw[a:b].decode() for a, b in zip(ws[first[new]].tolist(), we[first[new]].tolist())]
             places[new] = self._learn(distinct[new], spans)
         at = places[codes]
-        lengths = self.lengths[at]
-        ids = self.flat[_text.ragged(self.starts[at], lengths)]
+        lengths = self.lengths[at].astype(np.int64)
+        ids = self.flat[_text.ragged(self.starts[at].astype(np.int64), lengths)]
         per = np.concatenate([[0], np.cumsum(lengths)])[word_off]
         if end is None:
             return ids, per

@@ -40,7 +40,7 @@ K = 30
 W = PASSAGE - K + 1
 SIDE = W - 1
 #: Bytes of text whose suffixes are merged before the shuffle.
-MERGE = 16 << 20
+MERGE = 8 << 20
 #: Documents with spans whose ids may be broadcast (bytes checked by rows); beyond it texts and spans are shuffled.
 BROADCAST_ROWS = 100_000
 
