@@ -265,3 +265,20 @@ def test_words_split_as_the_pattern_says():
     raw = buf.tobytes()
     for i, t in enumerate(texts):
         assert [raw[a:b].decode() for a, b in zip(ws[word_off[i] : word_off[i + 1]], we[word_off[i] : word_off[i + 1]])] == words(t)
+
+
+@pytest.mark.parametrize("size", [1_500, 20_000, 200_000])
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoinshrd", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "=-", " ", "日本語é"])
+def test_bpe_of_long_matches(reference_bpe, letters, size):
+    rng = np.random.default_rng(size)
+    text = "".join(np.array(list(letters))[rng.integers(0, len(letters), size)])
+    (got,) = bpe.coder(MULTI, public_tokenizers.PATTERN).encode_words([text.encode()])
+    assert [int(x) for x in got[1].split(",")] == reference_bpe._encode_single_piece(text.encode()) and got[0] == got[1].count(",") + 1 and got[2] == text.encode()
+
+
+def test_bpe_of_a_document_with_a_long_run(spark, reference_bpe):
+    text = "before " + "".join(chr(97 + i * i % 23) for i in range(20_000)) + " after"
+    (r,) = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), MULTI, public_tokenizers.PATTERN).collect()
+    ids = reference_bpe.encode_ordinary(text)
+    assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
