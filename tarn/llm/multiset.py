@@ -1,8 +1,8 @@
 """Document fingerprints as homomorphic multiset hashes, by SQL functions alone.
 
 A paragraph (a line) is hashed to a wide vector: eight 32-bit lanes of the
-paragraph as it stands, and 64 one-bit lanes for each run of up to
-``RUN_WORDS`` of its words.  A document's fingerprint is the sum of its
+paragraph as it stands, and 64 one-bit lanes for each run of ``RUN_WORDS`` of
+its words, one beginning at every word (a shorter paragraph is one run).  A document's fingerprint is the sum of its
 paragraphs' vectors, each lane modulo 2**32.  So paragraphs can be added or
 taken away without the rest of the text (``add``, ``subtract``), their order
 does not count, and equal texts have equal fingerprints.  The one-bit lanes'
@@ -30,7 +30,9 @@ SEEDS = (1, 2, 3, 4)
 LANE_PAIRS = 32
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
-_RUNS = r"\\S+(?:[^\\S\\n]+\\S+){0,%d}" % (RUN_WORDS - 1)
+#: SQL for the hashes of the runs of a line's word hashes w: one begins at each word that has enough after it.
+_RUNS = f"""CASE WHEN size(w) = 0 THEN CAST(array() AS ARRAY<BIGINT>) WHEN size(w) < {RUN_WORDS} THEN array(xxhash64(w))
+         ELSE transform(sequence(0, size(w) - {RUN_WORDS}), i -> xxhash64({", ".join(f"w[i + {k}]" for k in range(RUN_WORDS))})) END"""
 
 
 def fingerprint(text: str) -> Column:
@@ -46,7 +48,8 @@ def fingerprint(text: str) -> Column:
                flatten(transform(array({whole}), hs -> array(
                  aggregate(hs, 0L, (a, h) -> (a + (h & {_LOW}L)) & {_LOW}L),
                  aggregate(hs, 0L, (a, h) -> (a + shiftrightunsigned(h, 32)) & {_LOW}L)))))),
-            'bits', flatten(transform(array(transform(regexp_extract_all(t, '{_RUNS}', 0), r -> xxhash64(r))), hs ->
+            'bits', flatten(transform(array(flatten(transform(split(t, '\\n', -1), p ->
+               transform(array(transform(regexp_extract_all(p, '\\\\S+', 0), x -> xxhash64(x))), w -> {_RUNS})[0]))), hs ->
                array_append(transform(sequence(0, {LANE_PAIRS - 1}), s ->
                  aggregate(hs, 0L, (a, h) -> a + (shiftrightunsigned(h, s) & {_PAIR}L))), CAST(size(hs) AS BIGINT))))
           ))[0]""")

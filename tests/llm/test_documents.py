@@ -228,6 +228,15 @@ def test_edits(spark, awkward, nothing):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.95
 
 
+def test_likeness_of_a_long_line_with_a_word_more_or_less(spark):
+    w = [f"w{i}" for i in range(400)]
+    texts = [" ".join(x) for x in (w, ["new", *w], w[1:], w[:9] + ["new"] + w[9:], [f"v{i}" for i in range(400)])] + ["one  two", "one two", "three two"]
+    fp = multiset.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    a, b = fp.select(F.col("doc_id").alias("i"), F.col("fingerprint").alias("a")), fp.select(F.col("doc_id").alias("j"), F.col("fingerprint").alias("b"))
+    near = {(r["i"], r["j"]): r["near"] for r in a.crossJoin(b).select("i", "j", multiset.likeness("a", "b").alias("near")).collect()}
+    assert all(near[0, j] > 0.9 for j in (1, 2, 3)) and near[0, 4] < 0.5 and near[5, 6] == 1 and near[6, 7] < 0.7
+
+
 # byte-level BPE
 
 
