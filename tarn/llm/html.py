@@ -5,6 +5,9 @@ text length and the punctuation are set against the number of nodes; both
 ratios are smoothed over the paths that stand near by, fused by their product,
 and weighted by what the path's tags say of themselves.  Paths whose fused
 ratio reaches a threshold that follows from the page's own spread are content.
+A form, or an element that only its class or id names as boilerplate, is taken
+for the page's wrapper if it holds most of the text and no main heading, article
+or main element stands clear of such elements; ratios decide inside it.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks follow in page order.  A null or empty page, or one without content
@@ -62,8 +65,8 @@ _SPACE = re.compile(r"\s+")
 _LOOSE = re.compile(r"</?[a-zA-Z][^<>]*>")
 
 
-def _named_boilerplate(attributes: str) -> bool:
-    """Whether class, id, role or hiding marks speak of boilerplate."""
+def _set_aside(attributes: str) -> bool:
+    """Whether role or hiding marks speak of boilerplate."""
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -72,26 +75,35 @@ def _named_boilerplate(attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(p.lower() in BOILERPLATE for p in _PARTS.findall(value)):
-            return True
     return False
 
 
+def _named_boilerplate(attributes: str) -> bool:
+    """Whether class or id names speak of boilerplate."""
+    return any(n.lower() in ("class", "id") and any(p.lower() in BOILERPLATE for p in _PARTS.findall(v.strip("\"'"))) for n, v in _MARK.findall(attributes))
+
+
 class _Node:
-    __slots__ = ("article", "bad", "block", "path", "tag")
+    __slots__ = ("article", "bad", "block", "hard", "path", "soft", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, attributes: str) -> None:
+    def __init__(self, tag: str, parent: _Node | None, attributes: str, number: int = 0, wrappers: frozenset[int] = frozenset()) -> None:
         self.tag = tag
         above = parent.path if parent else ()
         self.article = bool(parent and parent.article) or tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(main|article)\b|itemprop\s*=\s*[\"']?articleBody", attributes, re.I))
-        self.bad = bool(parent and parent.bad) or tag in SKIPPED or tag == "header" and not self.article or tag not in ("html", "body", "article", "main") and _named_boilerplate(attributes)
+        marked = tag not in ("html", "body", "article", "main")
+        self.hard = bool(parent and parent.hard) or tag in SKIPPED and tag != "form" or tag == "header" and not self.article or marked and _set_aside(attributes)
+        #: the place of the outermost element that only its name, or being a form, speaks against; 0 if there is none
+        self.soft = parent.soft if parent and parent.soft else number if number not in wrappers and (tag == "form" or marked and _named_boilerplate(attributes)) else 0
+        self.bad = self.hard or self.soft > 0
         inline = tag not in BLOCKS and tag not in SKIPPED and parent is not None and not self.bad
         self.path = above if inline and not (parent.bad) else (*above, tag + ("!" if self.bad else ""))
         self.block = tag in BLOCKS
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
-    """Tag path, whether inside an article, whether marked as boilerplate, and text of every block of a page in order."""
+def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], bool, bool, str]], dict[int, int], bool]:
+    """The blocks of a page with some elements taken for wrappers; length of text by soft element (0: none), hard ones apart; whether a main heading, article or main stands clear."""
+    weights: dict[int, int] = {}
+    clear = False
     out: list[tuple[tuple[str, ...], bool, bool, str]] = []
     stack = [_Node("html", None, "")]
     held: list[str] = []
@@ -103,11 +115,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
             held.clear()
             if text:
                 out.append((now.path, now.article, now.bad, text))
+                if not now.hard:
+                    weights[now.soft] = weights.get(now.soft, 0) + len(text)
 
     def switch(node: _Node) -> None:
         """Text that follows belongs to another path or block."""
         nonlocal now
-        if node.path != now.path or node.bad != now.bad or node.article != now.article:
+        if node.path != now.path or node.bad != now.bad or node.article != now.article or node.soft != now.soft or node.hard != now.hard:
             flush()
         now = node
 
@@ -169,7 +183,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
                         break
             if tag in BLOCKS:
                 flush()
-            node = _Node(tag, stack[-1], attributes)
+            node = _Node(tag, stack[-1], attributes, pos, wrappers)
             if attributes.rstrip().endswith("/") and tag in ("svg", "path", "math"):
                 continue
             if tag in RAW:
@@ -180,11 +194,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
                 while stack[-1].tag != "head":
                     stack.pop()
                 stack.pop()
-                node = _Node(tag, stack[-1], attributes)
+                node = _Node(tag, stack[-1], attributes, pos, wrappers)
             stack.append(node)
             switch(node)
+            clear = clear or not node.bad and tag in ("h1", "article", "main")
     flush()
-    return out
+    return out, weights, clear
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str]]:
+    """Tag path, whether inside an article, whether marked as boilerplate, and text of every block of a page in order."""
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        out, weights, clear = _blocks(page, wrappers)
+        most = max(weights, key=weights.get, default=0)
+        if clear or not most or 2 * weights[most] <= sum(weights.values()):
+            return out
+        wrappers |= {most}
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:

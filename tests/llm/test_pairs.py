@@ -210,6 +210,14 @@ def test_pages(page, want):
     assert html.content(page) == want
 
 
+@pytest.mark.parametrize("wrapper", ["form", "div class='page has-sidebar'", "div id=content-with-sidebar", "div class=no-comments"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_of_whole_pages(wrapper, inner):
+    page = f"<body><{wrapper}><{inner}><h1>T</h1><p>A long text, with marks.</p></{inner}><div id=comments><p>Nice, thanks!</p><p>{'More of it, too. ' * 9}</p></div></{wrapper.split()[0]}></body>"
+    assert html.content(page) == "T A long text, with marks."
+    assert html.content(f"<form><div class='page has-sidebar'>{page}</div></form>") == "T A long text, with marks."
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (2, "u", "<article>x</article>", "t"), (2, "u", "<article>x</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in html.extract(pages).collect()) == [(1, "", "", 0), (2, "u", "x", 1), (2, "u", "x", 1)]
