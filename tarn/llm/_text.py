@@ -12,6 +12,7 @@ import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U64 = np.uint64
@@ -145,6 +146,81 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def _windows(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether spans of equal lengths in two buffers hold equal bytes."""
+    out = np.ones(len(length), bool)
+    live = np.flatnonzero(length)
+    a8, b8 = _windows(a), _windows(b)
+    at = 0
+    while len(live) > 16 or len(live) and at < 64:
+        left = length[live] - at
+        differ = ((a8[a_start[live] + at] ^ b8[b_start[live] + at]) & _KEEP[np.minimum(left, 8)]) != 0
+        out[live[differ]] = False
+        live = live[(left > 8) & ~differ]
+        at += 8
+    for i in live.tolist():  # few long spans
+        x, y, n = int(a_start[i]), int(b_start[i]), int(length[i])
+        out[i] = np.array_equal(a[x + at : x + n], b[y + at : y + n])
+    return out
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each span among the distinct ones, and the first span of each.
+
+    Spans are one if their bytes are; their hashes only say which to compare.
+    """
+    h = hash_spans(buf, starts, ends) if h is None else h
+    codes, keys = pd.factorize(h)
+    codes = codes.astype(np.int64)
+    first = np.empty(len(keys), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    length = ends - starts
+    mine = first[codes]
+    other = length != length[mine]
+    check = np.flatnonzero(~other & (mine != np.arange(len(codes))))
+    other[check] = ~same_spans(buf, starts[check], buf, starts[mine[check]], length[check])
+    if other.any():  # unlike spans of one hash
+        found: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(other).tolist():
+            span = buf[starts[i] : ends[i]].tobytes()
+            if span not in found:
+                found[span] = len(keys) + len(more)
+                more.append(i)
+            codes[i] = found[span]
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return codes, first
+
+
+def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of runs of n consecutive codes: equal if and only if all codes are."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    out, width = codes[:m].astype(np.int64), int(codes.max()) + 1
+    for j in range(1, n):
+        out = pd.factorize(out * width + codes[j : j + m])[0].astype(np.int64)
+    return out
+
+
+def seen_before(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which codes occur earlier in their document."""
+    if not len(codes):
+        return np.zeros(0, bool)
+    pairs = pd.Series(doc * (int(codes.max()) + 1) + codes)
+    return pairs.duplicated().to_numpy()
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of n consecutive values (len(h) - n + 1 of them, 0 at least)."""
     m = len(h) - n + 1

@@ -2,8 +2,10 @@
 
 The tokenizer's normaliser and pre-tokenizer work inside runs without white
 space, so a text's ids are those of its ASCII-separated words one after
-another.  A batch's words are hashed together; a word that this worker has not
-met goes through the library, all others are gathered from its memory.
+another.  A batch's words are hashed together and compared by their bytes; a
+word that this worker has not met goes through the library, all others are
+gathered from its memory.  A hash only says where to look: words of one hash
+are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -14,14 +16,13 @@ import zlib
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tarn.llm import _text
 
 #: Words that a worker remembers; beyond it the memory starts anew.
-MEMORY = 1_500_000
+MEMORY = 1_200_000
 #: Of them, pieces whose ids are kept by name.
 PIECES = 200_000
 
@@ -85,6 +86,11 @@ class WordCoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # ascending
+        self.odd: dict[bytes, int] = {}  # places of words whose hash another word has
+        self.raw = np.zeros(1 << 16, np.uint8)  # the words' bytes
+        self.raw_starts = np.zeros(1 << 14, np.int64)
+        self.raw_lengths = np.zeros(1 << 14, np.int32)
+        self.raw_used = self.count = 0
         self.at = np.zeros(0, np.int32)
         self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.int32)
@@ -92,26 +98,60 @@ class WordCoder:
         self.lengths = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, spans: list[str]) -> np.ndarray:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Remembers new words; gives their places."""
         if len(self.pieces) > PIECES:
             self.pieces = {}
-        found = self._library(spans)
+        found = self._library([w.decode() for w in words])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total, k = int(lengths.sum()), len(self.keys)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        total, size, k = int(lengths.sum()), int(sizes.sum()), self.count
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.raw) < self.raw_used + size:
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         while len(self.starts) < k + len(keys):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            for name in ("starts", "lengths", "raw_starts", "raw_lengths"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-        self.starts[k : k + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[k : k + len(keys)] = lengths
+        self.raw[self.raw_used : self.raw_used + size] = np.frombuffer(b"".join(words), np.uint8)
+        new = slice(k, k + len(keys))
+        self.starts[new] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[new] = lengths
+        self.raw_starts[new] = self.raw_used + np.cumsum(sizes) - sizes
+        self.raw_lengths[new] = sizes
         self.used += total
+        self.raw_used += size
+        self.count += len(keys)
         places = k + np.arange(len(keys), dtype=np.int32)
-        all_keys = np.concatenate([self.keys, keys])
+        # of words of one hash the first is found by it, the others by their bytes
+        fresh = np.zeros(len(keys), bool)
+        fresh[np.unique(keys, return_index=True)[1]] = True
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            fresh &= self.keys[near] != keys
+        for i in np.flatnonzero(~fresh).tolist():
+            self.odd[words[i]] = int(places[i])
+        all_keys = np.concatenate([self.keys, keys[fresh]])
         order = np.argsort(all_keys, kind="stable")
-        self.keys, self.at = all_keys[order], np.concatenate([self.at, places])[order]
+        self.keys, self.at = all_keys[order], np.concatenate([self.at, places[fresh]])[order]
+        return places
+
+    def _known(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of words, -1 of those that this worker has not met."""
+        places = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return places
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[near] == keys)
+        at = self.at[near[hit]].astype(np.int64)
+        length = ends[hit] - starts[hit]
+        same = length == self.raw_lengths[at]
+        check = np.flatnonzero(same)
+        same[check] = _text.same_spans(buf, starts[hit[check]], self.raw, self.raw_starts[at[check]], length[check])
+        places[hit[same]] = at[same]
+        for i in hit[~same].tolist():
+            places[i] = self.odd.get(buf[starts[i] : ends[i]].tobytes(), -1)
         return places
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +159,16 @@ class WordCoder:
         buf, off = _text.as_bytes(column)
         ws, we, word_off = _text.words(buf, off)
         h = _text.hash_spans(buf, ws, we)
-        codes, distinct = pd.factorize(h)
-        places = np.full(len(distinct), -1, np.int64)
-        if len(self.keys):
-            near = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            places = np.where(self.keys[near] == distinct, self.at[near], -1)
+        codes, first = _text.distinct_spans(buf, ws, we, h)
+        keys, starts, ends = h[first], ws[first], we[first]
+        places = self._known(keys, buf, starts, ends)
         new = np.flatnonzero(places < 0)
         if len(new):
-            if len(self.keys) + len(new) > MEMORY:
+            if self.count + len(new) > MEMORY:
                 self._forget()
-                new = np.arange(len(distinct))
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
+                new = np.arange(len(first))
             raw = buf.tobytes()
-            spans = [raw[a:b].decode() for a, b in zip(ws[first[new]].tolist(), we[first[new]].tolist())]
-            places[new] = self._learn(distinct[new], spans)
+            places[new] = self._learn(keys[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
         at = places[codes]
         lengths = self.lengths[at].astype(np.int64)
         ids = self.flat[_text.ragged(self.starts[at].astype(np.int64), lengths)]

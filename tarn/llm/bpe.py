@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -177,7 +176,7 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.stretches: dict[int, int] = {}
+        self.stretches: dict[bytes, int] = {}
         self.counts = np.zeros(1 << 14, np.int64)
         self.ids = np.empty(1 << 14, object)
         self.plain = np.empty(1 << 14, object)
@@ -240,9 +239,9 @@ class Coder:
         self.db.unregister("given")
         return [bytes.fromhex(next(found)[0]) if n else b"" for n in lengths.tolist()]
 
-    def _learn(self, keys: list[int], stretches: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
         """Remembers the ids and decoded bytes of stretches of text."""
-        matches = [self.pattern.findall(s) for s in stretches]
+        matches = [self.pattern.findall(s.decode()) for s in keys]
         new = list({w for m in matches for w in m if w not in self.words})
         if new:
             self.words.update(zip(new, self.encode_words([w.encode() for w in new])))
@@ -269,19 +268,16 @@ class Coder:
                 ce[chunk_off[i]] = off[i + 1]
             cs, ce = cs[keep], ce[keep]
             chunk_off = np.searchsorted(cs, off)
-        h = _text.hash_spans(buf, cs, ce)
-        codes, distinct = pd.factorize(h)
-        keys = distinct.tolist()
+        codes, first = _text.distinct_spans(buf, cs, ce)
+        raw = buf.tobytes()
+        keys = [raw[a:b] for a, b in zip(cs[first].tolist(), ce[first].tolist())]
         if len(self.stretches) + len(keys) > MEMORY:
             self._forget()
         if len(self.words) > MEMORY:
             self.words = {}
-        new = [i for i, k in enumerate(keys) if k not in self.stretches]
+        new = [k for k in keys if k not in self.stretches]
         if new:
-            first = np.empty(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = buf.tobytes()
-            self._learn([keys[i] for i in new], [raw[cs[first[i]] : ce[first[i]]].decode() for i in new])
+            self._learn(new)
         places = np.array([self.stretches[k] for k in keys], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         counts = np.concatenate([[0], np.cumsum(self.counts[places])])
         out = []

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,25 +89,15 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(ws, line_ends) > np.searchsorted(ws, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     line_doc = np.searchsorted(off, line_starts, side="right") - 1
-    h = _text.hash_spans(buf, line_starts, line_ends)
-    key = _text.mix64(h + line_doc.astype(np.uint64) * _text.U64(0x9E3779B97F4A7C15))
-    _, first = np.unique(key, return_index=True)
-    later = np.ones(len(key), bool)
-    later[first] = False
+    lines, _ = _text.distinct_spans(buf, line_starts, line_ends)
     out["n_lines"] = np.bincount(line_doc, minlength=n)
-    out["n_dup_lines"] = np.bincount(line_doc[later], minlength=n)
+    out["n_dup_lines"] = np.bincount(line_doc[_text.seen_before(lines, line_doc)], minlength=n)
 
     inside, doc = _text.gram_owner(word_off, 3)
-    g = _text.grams(_text.hash_spans(buf, ws, we), 3)
     at = np.flatnonzero(inside)
-    key = _text.mix64(g[at] + doc[at].astype(np.uint64) * _text.U64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    twice = np.zeros(len(k), bool)
-    same = k[1:] == k[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    hit = at[order[twice]]
+    runs = _text.gram_codes(_text.distinct_spans(buf, ws, we)[0], 3)[at]
+    twice = pd.Series(doc[at] * (int(runs.max(initial=0)) + 1) + runs).duplicated(keep=False).to_numpy()
+    hit = at[twice]
     covered = np.zeros(len(ws), bool)
     for j in range(3):
         covered[hit + j] = True

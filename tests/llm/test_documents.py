@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarn.llm import _store, _text, bpe, mil, multiset, packing, queries, rules, simple8b
+from tarn.llm import _store, _text, _tokens, bpe, mil, multiset, packing, queries, rules, simple8b
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -291,3 +291,60 @@ def test_bpe_of_a_document_with_a_long_run(spark, reference_bpe):
     ids = reference_bpe.encode_ordinary(text)
     assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+# equality is by bytes, not by hashes
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def twins():
+    """Pairs of unlike words that any polynomial hash modulo 2**64 takes for one."""
+    return [(thue_morse(n, x), thue_morse(n, x[::-1])) for n in (1024, 2048, 4096) for x in ("ab", "{|", "é日")]
+
+
+def test_words_of_one_hash_have_their_own_ids(spark, twins, tokenizer, reference_bpe):
+    clash = 0
+    for pair in twins:
+        buf, off = _text.as_bytes(pa.array(pair))
+        h = _text.hash_spans(buf, off[:-1], off[1:])
+        clash += h[0] == h[1]
+        assert _text.distinct_spans(buf, off[:-1], off[1:])[0].tolist() == [0, 1]
+        for order in (pair, pair[::-1]):  # in one batch and one after the other
+            for texts in ([*order, " ".join(order)], [order[0]], [order[1]]):
+                ids, at = _tokens.WordCoder(WORD_BPE).encode(pa.array(texts))
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        coder = _tokens.WordCoder(WORD_BPE)
+        for t in (*pair, *pair):
+            assert coder.encode(pa.array([t]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert clash
+    rows = [t for pair in twins for t in (f"x {pair[0]} {pair[1]} y", *pair)]
+    own = bpe.coder(MULTI, public_tokenizers.PATTERN)
+    for t, (n, ids, plain) in zip(rows, own.texts(pa.array(rows))):
+        got = [int(x) for part in ids if part for x in part.split(",")]
+        assert got == reference_bpe.encode_ordinary(t) and b"".join(plain) == t.encode()
+    for a, b in twins:
+        texts = [f"{a}\n{b}\n{a}", f"{a} {a} {a}\n{b} {b} {b}", f"{a}\n{b}"]
+        found = rules.measure(pa.array(texts))
+        assert all({k: int(v[i]) for k, v in found.items()} == brute_measures(t) for i, t in enumerate(texts))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(rows)}
+    got = simple8b.read_back(spark, simple8b.write(docs, WORD_BPE, _store.shared(spark, "t")), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: x + [2] for i, x in want.items()}
+    check_packed(packing.pack(docs, WORD_BPE).collect(), list(enumerate(rows)), tokenizer)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=20).map(lambda b: bytes(x & 1 for x in b)), max_size=40))
+def test_distinct_spans(spans):
+    buf = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(s) for s in spans]).astype(np.int64)
+    starts = ends - np.array([len(s) for s in spans], np.int64)
+    codes, first = _text.distinct_spans(buf, starts, ends, np.zeros(len(spans), np.uint64))  # all of one hash
+    assert all((codes[i] == codes[j]) == (a == b) for i, a in enumerate(spans) for j, b in enumerate(spans))
+    assert all(spans[f] == spans[i] for i, f in enumerate(first[codes].tolist()))
+    runs = _text.gram_codes(codes, 3)
+    assert all((runs[i] == runs[j]) == (spans[i : i + 3] == spans[j : j + 3]) for i in range(len(runs)) for j in range(len(runs)))
