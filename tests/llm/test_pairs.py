@@ -3,6 +3,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -333,3 +334,47 @@ def test_rows_without_doc_id_and_doc_ids_of_two_texts(spark):
     big = spark.createDataFrame([(None, "p " + a), (1, a), (None, "p " + a)], "doc_id long, text string")
     assert {tuple(r) for r in suffix.spans(big).collect()} == {(1, 0, 120, True), (None, 1, 121, False)}
     assert suffix.remove_repeats(big).count() == 3
+
+
+# tag-path ratios
+
+
+def test_ratios_decide_without_article_tags_and_names(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert all(html.content(q) == expected(p) for p, q in zip(pages, plain))
+    bare = [re.sub(r' class="[^"]*"', "", p) for p in plain]
+    assert np.mean([html.content(q) == expected(p) for p, q in zip(pages, bare)]) > 0.7
+    loose = [re.sub(r"</?article>", "", p) for p in pages]
+    assert all(html.content(q) == expected(p) for p, q in zip(pages, loose))
+
+
+def test_the_threshold_moves_the_text():
+    page = "<body><div>Short note, here.</div><div><h2>Title</h2><p>" + "Some long text, with marks, and more. " * 9 + "</p><p>More of it, and on.</p></div></body>"
+    some, all_, none = (html.content(page, t) for t in (html.THRESHOLD, 0, 1e9))
+    assert some.startswith("Title Some") and some.endswith("and on.") and all_ == "Short note, here. " + some and none == ""
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post tags-news", "no-comments page"])
+def test_names_around_a_whole_article(spark, name):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = expected(r["html"])
+        assert html.content(r["html"].replace("<body>", f'<body><div class="{name}">')) == want
+        if len(want) > 400:
+            assert html.content(r["html"].replace("<article>", f'<div class="{name}">').replace("</article>", "</div>")) == want
+
+
+@pytest.mark.parametrize("where", ["</article>", "<article>", "<body>"])
+def test_comments_and_sidebars(spark, where):
+    more = "".join(f"<{tag} class='{name}'><h3>More</h3><p>{'Nice words, really nice words. ' * 40}</p></{tag}>" for tag, name in (("section", "comments"), ("div", "sidebar"), ("div", "related-posts")))
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = r["html"].replace(where, more + where if where == "</article>" else where + more)
+        assert html.content(page) == expected(r["html"])
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<div>x", "<b>", "<li>x", "<b><h1>", "<i></p>", '<x y="', "&amp;<", "<form>x", "<!", "</"])
+@pytest.mark.parametrize("end", ["", ">\"'>"])
+def test_long_pages_take_time_in_proportion(part, end):
+    began = time.process_time()
+    html.content(part * 40_000 + end)
+    assert time.process_time() - began < 10  # quadratic: minutes
