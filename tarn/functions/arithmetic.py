@@ -33,7 +33,9 @@ def tokens(text: str) -> list[tuple[str, str]]:
 
 def divide(a: Column, b: Column) -> Column:
     """Division of doubles that never fails."""
-    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    # a zero shows its sign as text alone
+    sign = F.when(b.cast("string").startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf")) * sign).otherwise(F.lit(float("-inf")) * sign)
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
 
 

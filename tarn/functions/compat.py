@@ -37,8 +37,8 @@ def to_hex(x: Column) -> Column:
 
 
 def regexp_match(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The first match, which may be empty; null if there is none."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
 def date_bin(seconds: int, ts: Column, origin: str = "1970-01-01 00:00:00") -> Column:

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def analyze(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def analyze(df: DataFrame, columns: list[str] | None = None, approximate: float | None = None) -> DataFrame:
     """column_name, row_count, null_count, distinct_count, min, max of every column, in one pass.
 
-    Distinct counts are exact.  Columns are unpivoted to (column, value) rows
+    Distinct counts are exact, or with ``approximate`` (a relative error) come
+    from sketches, which shuffle no values.  Otherwise columns are unpivoted to (column, value) rows
     and pre-aggregated by value, so no wide row is expanded once per column and
     a hot value is counted before it is shuffled.  Minima and maxima are those
     of the columns' own types.
     """
     columns = columns or df.columns
+    if approximate is not None:
+        return _approximate(df, columns, approximate)
     basic = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)),
@@ -31,6 +34,12 @@ def analyze(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return joined.select("column_name", "row_count", "null_count", F.coalesce("d", F.lit(0)).cast("long").alias("distinct_count"), "min", "max")
 
 
+def _approximate(df: DataFrame, columns: list[str], error: float) -> DataFrame:
+    each = [(F.count(c), F.approx_count_distinct(c, error), F.min(c).cast("string"), F.max(c).cast("string")) for c in (F.col(f"`{n}`") for n in columns)]
+    facts = F.array(*(F.struct(F.lit(n).alias("column_name"), F.count(F.lit(1)).alias("row_count"), (F.count(F.lit(1)) - k).alias("null_count"), d.alias("distinct_count"), lo.alias("min"), hi.alias("max")) for n, (k, d, lo, hi) in zip(columns, each)))
+    return df.agg(facts.alias("facts")).select(F.inline("facts"))
+
+
 @dataclass
 class TableEntry:
     name: str
