@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn import surface
 from tarn.functions import arithmetic, compat
 from tarn.operators import pagerank, partitioning, regression
 from tarn.plans import pruning, query, stats
@@ -52,20 +53,20 @@ COMMON = {
     "filter_in": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "filter_between": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' OR p_brand ILIKE 'brand#2%'",
-    "filter_null": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
+    "filter_null": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL",
     "case_when": "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS band FROM orders",
     "distinct": "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer",
     "join_inner_broadcast": "SELECT n.n_name, count(1) AS n_customers, CAST(sum(CAST(c.c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS balance FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
     "join_multi": """SELECT r.r_name, n.n_name, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS price, count(1) AS n_lines
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name""",
-    "join_shuffle": "SELECT o.o_orderkey, o.o_custkey, l.l_linenumber, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_quantity > 45",
+    "join_shuffle": "SELECT o.o_orderkey, o.o_custkey, l.l_linenumber, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey",
     "join_left": "SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey",
     "join_right": "SELECT o.o_orderkey, c.c_name FROM customer c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING'",
     "join_full": "SELECT s.s_nationkey AS s_nation, c.c_nationkey AS c_nation, s.n_suppliers, c.n_customers FROM (SELECT s_nationkey, count(1) AS n_suppliers FROM supplier GROUP BY s_nationkey) s FULL OUTER JOIN (SELECT c_nationkey, count(1) AS n_customers FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey) c ON s.s_nationkey = c.c_nationkey",
     "join_cross": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
     "join_theta": "SELECT b.lo, count(1) AS n_parts FROM part p JOIN (SELECT * FROM (VALUES (1, 10), (11, 25), (26, 50)) AS v(lo, hi)) b ON p.p_size >= b.lo AND p.p_size <= b.hi GROUP BY b.lo",
-    "join_using": "SELECT l_orderkey, c_lines, c_big FROM (SELECT l_orderkey, count(1) AS c_lines FROM lineitem GROUP BY l_orderkey) a JOIN (SELECT l_orderkey, count(1) AS c_big FROM lineitem WHERE l_quantity > 40 GROUP BY l_orderkey) b USING (l_orderkey)",
+    "join_using": "SELECT l_orderkey, c_lines, c_big FROM (SELECT l_orderkey, count(1) AS c_lines FROM lineitem GROUP BY l_orderkey) a JOIN (SELECT l_orderkey, count(1) AS c_big FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)",
     "join_natural": "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) b",
     "agg_group_sum_count_min_max": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS sum_qty, count(1) AS cnt, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_global": "SELECT count(1) AS cnt, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders",
@@ -103,7 +104,7 @@ COMMON = {
     "sub_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "sub_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "sub_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)",
-    "sub_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "sub_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')",
     "fn_string": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAST(length(p_name) AS BIGINT) AS n, concat(p_brand, '-', p_type) AS c, substr(p_name, 2, 3) AS s, replace(p_type, ' ', '_') AS r, trim(concat('  ', p_name, ' ')) AS t, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '+') AS rp, reverse(p_name) AS rev, repeat('ab', 3) AS rep, split_part(p_brand, '#', 2) AS sp, left(p_name, 2) AS le, right(p_name, 2) AS ri, CAST(ascii(p_name) AS BIGINT) AS asc_, concat_ws('|', p_brand, p_type) AS cw, translate(p_brand, 'Bd', 'bD') AS tr, CAST(levenshtein(p_brand, p_type) AS BIGINT) AS lev FROM part",
     "fn_math": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, CAST(ceil(l_extendedprice) AS BIGINT) AS c, CAST(floor(l_extendedprice) AS BIGINT) AS f, round(sqrt(l_extendedprice), 6) AS sq, round(exp(l_discount), 9) AS e, round(ln(l_extendedprice), 9) AS ln_, round(log10(l_quantity), 9) AS l10, round(log2(l_quantity), 9) AS l2, round(power(l_quantity, 2), 4) AS p, round(sin(l_quantity), 9) AS sn, round(cos(l_quantity), 9) AS cs, round(atan2(l_quantity, l_tax + 1), 9) AS at2, round(degrees(l_tax), 9) AS dg, round(radians(l_quantity), 9) AS rd, CAST(sign(l_quantity - 25) AS DOUBLE) AS sg, round(cbrt(l_quantity), 9) AS cb, l_orderkey % 7 AS m, greatest(l_quantity, l_tax) AS g, least(l_quantity, l_tax) AS le FROM lineitem",
     "fn_conditional": "SELECT c_custkey, coalesce(NULLIF(c_mktsegment, 'BUILDING'), 'none') AS seg, nullif(c_nationkey, 3) AS nn, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 ELSE 0 END AS auto, ifnull(nullif(c_nationkey, 4), -1) AS nv FROM customer",
@@ -114,7 +115,7 @@ COMMON = {
 #: Statements that differ in names only: (Spark's, the oracle's).
 PAIRS = {
     "join_semi": ("SELECT c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey"),
-    "join_anti": ("SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey"),
+    "join_anti": ("SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000", "SELECT c_custkey FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000"),
     "agg_string": ("SELECT r_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey", "SELECT r_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey"),
     "agg_percentile": ("SELECT l_returnflag, round(percentile(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag"),
     "fn_date": (
@@ -132,7 +133,6 @@ PAIRS = {
     "fn_unnest": ("SELECT vec_id, pos, CAST(round(x, 5) AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(round(embedding[i], 5) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"),
     "fn_json": ("SELECT event_id, CAST(length(props) AS BIGINT) AS n, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, length(props) AS n, json_extract_string(props, '$.k') AS k FROM events"),
     "fn_sha": ("SELECT c_custkey, sha2(c_name, 256) AS s, base64(CAST(c_name AS BINARY)) AS b64, lower(hex(c_custkey)) AS h FROM customer", "SELECT c_custkey, sha256(c_name) AS s, base64(encode(c_name)) AS b64, lower(printf('%x', c_custkey)) AS h FROM customer"),
-    "fn_typeof": ("SELECT n_nationkey, CAST(n_nationkey AS STRING) AS s, CAST(n_nationkey AS DOUBLE) / 2 AS half, try_cast(n_name AS INT) AS bad FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS s, CAST(n_nationkey AS DOUBLE) / 2 AS half, try_cast(n_name AS INT) AS bad FROM nation"),
     "win_groups_frame": (
         "SELECT p_partkey, count(1) OVER (PARTITION BY p_brand ORDER BY dr RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT p_partkey, p_brand, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part)",
         "SELECT p_partkey, count(1) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part",
@@ -145,9 +145,13 @@ COMMON["flagship"] = FLAGSHIP
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all tasks reach: below the configured checkpoint folder, or a temporary one where none is set."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")).rstrip("/")
-    return f"{top}/tarn-{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    """A new folder that all tasks reach: below the configured checkpoint folder; only a local session may do without."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="tarn-")
+    return f"{top.rstrip('/')}/tarn-{name}-{os.getpid()}-{os.urandom(4).hex()}"
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,13 +191,22 @@ def union_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT r_name, count(1) AS n FROM input JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
+def union_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV shards of nation: whole numbers, fractions, and a column without any value, read as one input."""
+    rows, top = table(spark, sf_dir, "nation"), _folder(spark, "shards")
+    value = [F.col("n_regionkey"), F.col("n_regionkey") + 0.5, F.lit(None).cast("int")]
+    for i, v in enumerate(value):
+        files.write_csv(rows.where(F.col("n_nationkey") % 3 == i).select("n_nationkey", v.alias("v"), (F.col("n_name") if i == 1 else F.lit(None).cast("string")).alias("note")), f"{top}/shard-{i}.csv")
+    return files.register(spark, [f"{top}/shard-{i}.csv" for i in range(3)]).select("n_nationkey", F.col("v").cast("double").alias("v"), "note")
+
+
 def dpp_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = pruning.prune(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "C_MKTSEGMENT", " building ", "c_custkey", "o_custkey")
     return kept.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
 def analyze_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.analyze(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return stats.analyze(table(spark, sf_dir, "orders"))
 
 
 def expr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +258,10 @@ def fn_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "part").select(
         "p_partkey", compat.gcd(c("p_partkey"), c("p_size")).alias("g"), compat.lcm(c("p_partkey"), c("p_size")).alias("l"), compat.trunc_number(c("p_retailprice") - 1000).cast("double").alias("t"),
-        compat.strpos(c("p_brand"), "#").cast("long").alias("at"), compat.to_hex(c("p_partkey")).alias("h"), compat.array_has_all(F.array(F.lit(1), c("p_size")), F.array(F.lit(1))).alias("has"),
+        compat.strpos(c("p_brand"), "#").cast("long").alias("at"), compat.to_hex(c("p_partkey")).alias("h"), compat.array_has_all(F.array(F.lit(1), c("p_size")), F.array(F.lit(1), F.lit(7))).alias("has"),
+        compat.regexp_match(c("p_brand"), "#[1-3]").alias("rm"), compat.iszero(c("p_size") - 7).alias("z"), F.array_join(compat.array_slice(F.sequence(F.lit(1), c("p_size")), 2, 3), ",").alias("sl"),
+        F.array_join(compat.array_pop_back(F.array(F.lit(5), c("p_size"))), ",").alias("pb"), F.array_join(compat.array_pop_front(F.array(F.lit(5), c("p_size"))), ",").alias("pf"),
+        F.array_join(compat.array_replace(F.array(F.lit(1), c("p_size")), 1, 9), ",").alias("rp"), F.array_join(compat.array_resize(F.array(c("p_size")), 3, 0), ",").alias("rz"),
     )
 
 
@@ -253,10 +269,6 @@ def date_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(compat.date_bin(900, F.col("ts")).cast("timestamp_ntz").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -264,7 +276,6 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, sf_dir: str, aggregate: Callable[[DataFrame], DataFrame], delay: float | None) -> DataFrame:
     top = _folder(spark, "stream")
-    os.makedirs(top.removeprefix("file:"), exist_ok=True)
     state = cumulative.CumulativeState(spark, f"{top}/state", ["user_id", "category"], ["n", "total"])
     state.where.create_dir(state.at, recursive=True)
     cumulative.start(_stream(spark, sf_dir), state, aggregate, f"{top}/checkpoint", "ts" if delay else None, delay or 0, every=None).awaitTermination()
@@ -289,11 +300,14 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time windows over a stream, complete as Spark's watermark leaves them, through a memory sink."""
+    """Event-time windows over a stream, as each batch leaves them, written to the shared folder."""
     windows = cumulative.windowed(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 hour", "1 day")
-    name = f"windows_{os.urandom(4).hex()}"
-    windows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n"))
+    top = _folder(spark, "windows")
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{top}/batch={i}")
+    query = windows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{top}-offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{top}/batch={query.lastProgress.batchId}")
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("sum_value", 4).alias("total"))
 
 
 #: DataFrame queries: (query, oracle or None).
@@ -303,8 +317,9 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "sqlite_join": (sqlite_join, "SELECT n_name, count(1) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "map_reduce": (map_reduce, "SELECT user_id, event_type, count(1) AS cnt, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events GROUP BY user_id, event_type"),
     "union_inputs": (union_inputs, "SELECT r_name, CAST(2 * count(1) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "union_widened": (union_widened, "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_regionkey::DOUBLE WHEN 1 THEN n_regionkey + 0.5::DOUBLE END AS v, CASE WHEN n_nationkey % 3 = 1 THEN n_name END AS note FROM nation"),
     "dpp_prune": (dpp_prune, "SELECT o_custkey, count(1) AS n_orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building') GROUP BY o_custkey"),
-    "analyze_table": (analyze_table, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(1) AS row_count, count(1) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))),
+    "analyze_table": (analyze_table, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(1) AS row_count, count(1) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))),
     "expr_eval": (expr_eval, "SELECT l_orderkey, l_linenumber, round((l_quantity + 1) * l_extendedprice / (l_tax + 1) - 2, 4) AS result FROM lineitem"),
     "hash_partition": (hash_partition, "SELECT o_custkey, count(1) AS n, CAST(1 AS BIGINT) AS n_partitions FROM orders GROUP BY o_custkey"),
     "broadcast_hint": (broadcast_hint, "SELECT n_name, count(1) AS n_suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
@@ -319,16 +334,19 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         r3 AS (SELECT v.k, 0.15 + 0.85 * coalesce(sum(w * r), 0) AS r FROM v LEFT JOIN w ON d = v.k LEFT JOIN r2 ON r2.k = s GROUP BY v.k)
         SELECT k AS node, round(r, 9) AS rank FROM r3"""),
     "window_rolling": (window_rolling, "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events"),
-    "fn_compat": (fn_compat, "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l, trunc(p_retailprice - 1000) AS t, strpos(p_brand, '#') AS at, lower(printf('%x', p_partkey)) AS h, true AS has FROM part"),
+    "fn_compat": (fn_compat, "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l, trunc(p_retailprice - 1000) AS t, strpos(p_brand, '#') AS at, lower(printf('%x', p_partkey)) AS h, p_size = 7 AS has, CASE WHEN regexp_matches(p_brand, '#[1-3]') THEN regexp_extract(p_brand, '#[1-3]') END AS rm, p_size = 7 AS z, array_to_string(range(1, p_size + 1)[2:3], ',') AS sl, '5' AS pb, CAST(p_size AS VARCHAR) AS pf, concat('9,', CASE WHEN p_size = 1 THEN 9 ELSE p_size END) AS rp, concat(p_size, ',0,0') AS rz FROM part"),
     "date_bin": (date_bin, "SELECT time_bucket(INTERVAL '15 minutes', ts) AS bin, count(1) AS n FROM events GROUP BY bin"),
-    "agg_approx_distinct": (approx, None),
     "stream_cumulative": (stream_cumulative, "SELECT user_id, event_type AS category, count(1) AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events GROUP BY user_id, event_type"),
     "stream_watermark_filter": (stream_watermark_filter, "SELECT user_id, event_type AS category, count(1) AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events WHERE epoch(ts) >= (SELECT max(epoch(ts)) - 86400 FROM events) GROUP BY user_id, event_type"),
     "stream_static_join": (stream_static_join, "SELECT user_id, n_name AS category, count(1) AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY user_id, n_name"),
-    "stream_window": (stream_window, "SELECT event_type, count(DISTINCT date_trunc('hour', ts)) AS n_windows, count(1) AS n FROM events GROUP BY event_type"),
+    "stream_window": (stream_window, "SELECT date_trunc('hour', ts) AS start, event_type, count(1) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }
 
 
+COMMON |= surface.COMMON
+PAIRS |= surface.PAIRS
+
+
 def queries() -> dict[str, Query]:
     return {**{k: _sql(v) for k, v in COMMON.items()}, **{k: _sql(v[0]) for k, v in PAIRS.items()}, **{k: v[0] for k, v in BUILT.items()}}
 
