@@ -104,15 +104,113 @@ def test_classifier_cases(awkward, nothing, spark):
     assert {r["score"] for r in mil.score(awkward, blank).collect()} == {0.5}
 
 
-def test_gradients():
-    rng = np.random.default_rng(3)
-    bags = [rng.normal(size=(n, mil.FEATURES)) + (i % 2) * (np.arange(mil.FEATURES) < 2) * 3 * (rng.random((n, 1)) < 0.5) for i, n in enumerate([3, 5, 2, 7] * 40)]
-    y = np.array([float(i % 2) for i in range(len(bags))])
-    model = mil.fit(bags, y, epochs=30)
-    off = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    *_, p, _, s = model.parts(np.concatenate(bags), off)
-    assert np.mean((s > 0.5) == (y == 1)) > 0.9
-    assert np.allclose(np.add.reduceat(p, off[:-1]), 1)
+def random_bags(n, seed=3):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        k = int(rng.integers(1, 6))
+        sizes = rng.integers(0, 9, k)
+        out.append(mil.Bags(rng.normal(size=(k, mil.FEATURES)), np.array([0, k]), rng.integers(0, mil.BUCKETS, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])))
+    return out
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    bags, y = mil.joined(random_bags(7)), rng.integers(0, 2, 7).astype(float)
+    model = mil.fit(random_bags(4), np.array([0.0, 1.0, 0.0, 1.0]), hidden=5, gate=3, epochs=2)
+
+    def loss():
+        s = model.parts(bags)[-1]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    for name, grad in mil.gradients(model, bags, y).items():
+        weight = getattr(model, name)
+        flat, g = weight.reshape(-1), grad.reshape(-1)
+        places = rng.choice(len(flat), min(12, len(flat)), replace=False)
+        if name == "t":
+            hidden = weight.shape[1]
+            places = np.concatenate([places, bags.words[:6] * hidden + np.arange(6) % hidden])
+        for i in places.tolist():
+            at = flat[i]
+            flat[i] = at + 1e-6
+            up = loss()
+            flat[i] = at - 1e-6
+            down = loss()
+            flat[i] = at
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-7
+
+
+def brute_score(model, text):
+    """One document's score, passage by passage and word by word."""
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    raw = text.encode()
+    w = [raw[a:b] for a, b in spans]
+    size, rows, words_of = mil.PASSAGE_WORDS, [], []
+    for k in range(max(1, -(-len(w) // size))):
+        mine = w[k * size : (k + 1) * size]
+        begin = 0 if k == 0 else spans[k * size][0]
+        end = spans[(k + 1) * size][0] if (k + 1) * size < len(w) else len(raw)
+        hist = np.zeros(20)
+        for c in raw[begin:end]:
+            hist[mil._CLASS[c]] += 1
+        n = max(1, len(mine))
+        lens = [len(x) for x in mine]
+        mean = sum(lens) / n
+        spread = max(0.0, sum(x * x for x in lens) / n - mean * mean) ** 0.5
+        at = range(k * size, k * size + len(mine))
+        again = sum(w[i] in w[:i] for i in at) / n
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again3 = sum(i < len(grams) and grams[i] in grams[:i] for i in at) / n
+        same = sum(i > 0 and w[i] == w[i - 1] for i in at) / n
+        rows.append([*np.sqrt(hist / max(1.0, hist.sum())), np.log1p(mean), np.log1p(spread), again, again3, same, np.log1p(len(mine)) / 4, np.log1p(len(w)) / 8])
+        words_of.append(mine)
+    weights, codes = [], []
+    for x, mine in zip(rows, words_of):
+        z = ((np.array(x) - model.mean) / model.scale) @ model.w + model.b
+        for word in mine:
+            h = int(_text.hash_spans(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+            z = z + model.t[h >> 52] / len(mine) ** 0.5
+        e = np.tanh(z)
+        codes.append(e)
+        weights.append(np.exp((np.tanh(e @ model.v) / (1 + np.exp(-(e @ model.u)))) @ model.a))
+    m = sum(p * e for p, e in zip(weights, codes)) / sum(weights)
+    return 1 / (1 + np.exp(-(m @ model.c + model.d[0])))
+
+
+def test_scores_equal_brute_force(spark, awkward):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = mil.train(docs, labels)
+    for rows in (awkward, docs.where("doc_id % 4 = 0")):
+        texts = dict(rows_of(rows))
+        for r in mil.score(rows, model).collect():
+            if len(texts[r["doc_id"]]) < 20_000:
+                assert abs(r["score"] - brute_score(model, texts[r["doc_id"]])) < 1e-9
+
+
+def test_words_alone_tell_texts_apart(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = ["".join(letters[rng.permutation(26)[:6]]) for _ in range(400)]
+    text = lambda bad: " ".join(vocabulary[i + 200 * (bad and j % 3 == 0)] for j, i in enumerate(rng.integers(0, 200, 150)))
+    rows = [(i, text(i % 2 == 0), i % 2) for i in range(500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in mil.score(docs, mil.train(docs, labels)).collect()}
+    held = [(got[i] >= 0.5, y == 1) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_all_passages_of_a_labelled_document_count(spark):
+    long = " ".join(f"w{i % 97}" for i in range(64 * 700))
+    docs = spark.createDataFrame([(i, long if i == 1 else "short text") for i in range(1, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    seen = []
+    keep, mil.fit = mil.fit, lambda bags, y: seen.append([len(b.x) for b in bags])
+    try:
+        mil.train(docs, labels)
+    finally:
+        mil.fit = keep
+    assert max(seen[0]) == 700
 
 
 # token ids
