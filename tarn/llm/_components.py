@@ -35,11 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = _least(both, "cc-least")
         large = both.join(least, F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = _store.written(large.where("u <> v").distinct(), "cc")
+        _store.forget(edges, least)
         # small star: neighbours below a node, and the node, go to the least of them
         least = _least(large, "cc-least")
         small = large.join(least, F.col("u") == F.col("node")).select(F.col("u"), F.col("v"), F.col("m"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
         edges = _store.written(small.where("u <> v").distinct(), "cc")
+        _store.forget(large, least)
         after = _state(edges)
         if after == before:
             break

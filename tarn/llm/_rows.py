@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,13 @@ def id_type(docs: DataFrame, id_column: str = "doc_id") -> str:
     return docs.schema[id_column].dataType.simpleString()
 
 
+def long_ids(docs: DataFrame, id_column: str = "doc_id") -> Column:
+    """The id as a long; operators that order or join by it take integer columns alone."""
+    if not isinstance(docs.schema[id_column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{id_column} must be an integer column, not {id_type(docs, id_column)}")
+    return F.col(id_column).cast("long")
+
+
 def keep_where(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """The rows whose text decide() marks, with all their columns whatever their names."""
     small_batches(docs)

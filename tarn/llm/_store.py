@@ -1,7 +1,7 @@
 """Intermediate tables and files in the folder that all executors share.
 
 The folder is the one that the cluster names in ``spark.checkpoint.dir``; only
-where that is unset (in tests) a temporary folder of this machine is used.
+a local session may do without, and uses a temporary folder of its machine.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def shared(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own.setdefault("top", tempfile.mkdtemp(prefix="tarn-"))
     here = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}")
     # a path without scheme lies where Hadoop's configuration says
@@ -59,7 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            drop(path)
 
 
 def partitions(spark: SparkSession) -> int:

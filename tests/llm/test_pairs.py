@@ -90,7 +90,7 @@ def test_classes_of_groups(spark, block, broadcast_rows):
     texts = near_copies(40, 1) + near_copies(25, 2) + [f"alone {i} " * 3 for i in range(10)] + ["", None, "a b", "a b", "a  b"]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, rep int, key string").repartition(3)
-    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in forest.classes(docs, block=block, broadcast_rows=broadcast_rows).collect())
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in forest.classes(docs, block=block, texts=16, broadcast_rows=broadcast_rows).collect())
     assert got == brute_classes(rows)
 
 
@@ -107,9 +107,68 @@ def test_classes_of_awkward_documents(awkward, nothing):
     assert forest.keep_first(nothing).count() == 0
 
 
-def test_prefix_is_shortened_to_the_recall():
-    d = forest.prefix_length()
-    assert 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES
+def exact_pairs(rows, threshold=forest.THRESHOLD):
+    """Pairs of unlike word sequences as similar as the threshold, by an inverted index of runs."""
+    sets = list({frozenset(g) for g in (gram_set(t) for t in {tuple(words(t)) for _, t in rows} if t)})
+    places = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            places[g].append(i)
+    common = Counter((a, b) for at in places.values() for k, a in enumerate(at) for b in at[:k])
+    return sum(c >= threshold * (len(sets[a]) + len(sets[b]) - c) for (a, b), c in common.items())
+
+
+def gram_set(w):
+    return {w[i : i + 5] for i in range(len(w) - 4)} if len(w) >= 5 else {w}
+
+
+def near_at(n, seed, size, edits):
+    """Pairs of texts of so many words, one with some words replaced far apart."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        w = [f"p{k}w{rng.randrange(10**6)}" for _ in range(size)]
+        v = list(w)
+        for e in range(edits):
+            v[5 + e * 10] = f"x{rng.randrange(10**9)}"
+        out += [" ".join(w), " ".join(v)]
+    return out
+
+
+def test_prefixes_are_shortened_to_the_recall(spark):
+    # 104 runs of which 10 differ: 0.808; nearly the same texts need no short prefix
+    for texts, shorter in ((near_at(300, 3, 108, 2), True), (near_at(300, 4, 1000, 1), False)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        reps = forest.representatives(_store.written(forest.sketch(docs), "t"))
+        linked, d, share = forest.links(docs, reps)
+        assert (d < forest.DEPTH) == shorter and share >= forest.RECALL
+        assert linked.agg(F.sum("pairs")).first()[0] >= 298
+        _, d, share = forest.links(docs, reps, recall=0.5)
+        assert d == forest.DEPTH and share >= 0.5
+
+
+def test_recall_at_the_threshold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = exact_pairs([(r["doc_id"], r["text"]) for r in docs.collect()])
+    reps = forest.representatives(_store.written(forest.sketch(docs), "t"))
+    linked, d, share = forest.links(docs, reps)
+    got = linked.agg(F.sum("pairs")).first()[0]
+    print(f"{got} of {want} pairs, prefix {d}, expected share {share:.5f}")
+    assert 0.98 * want <= got <= want
+
+
+def test_only_pairs_of_a_prefix_are_compared_and_each_once(spark):
+    texts = near_copies(60, 11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = forest.representatives(_store.written(forest.sketch(docs), "t"))
+    linked, _, _ = forest.links(docs, reps, block=1000, texts=8)
+    assert linked.agg(F.sum("pairs")).first()[0] == exact_pairs(list(enumerate(texts)))
+
+
+def test_doc_ids_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="integer"):
+        forest.classes(docs)
 
 
 # repeated passages
@@ -330,7 +389,9 @@ def test_rows_without_doc_id_and_doc_ids_of_two_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in forest.classes(docs).collect())
     assert got == Counter([(None, 2, 3), (4, 2, 3), (2, 2, 3), (2, 2, 3), (None, None, 0), (4, 4, 0), (None, None, 0)])
-    assert Counter(r["doc_id"] for r in forest.keep_first(docs).collect())[None] == 3
+    assert Counter(tuple(r) for r in forest.keep_first(docs).collect()) == Counter([(None, "other words of this row here"), (None, None), (4, "quite another text under the same number"), (2, c)])
+    none = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert forest.keep_first(none).count() == 1
     big = spark.createDataFrame([(None, "p " + a), (1, a), (None, "p " + a)], "doc_id long, text string")
     assert {tuple(r) for r in suffix.spans(big).collect()} == {(1, 0, 120, True), (None, 1, 121, False)}
     assert suffix.remove_repeats(big).count() == 3
