@@ -38,7 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import _components, _rows, _store, _text
@@ -55,6 +55,8 @@ SIGNATURES = (512, 8192)
 #: Runs that one block of texts holds, about, and texts.
 BLOCK = 30_000
 TEXTS = 256
+#: Keys that the documents of a class are spread over where they meet what is known of it.
+SALTS = 16
 #: Rows of fixed width (some 60 bytes at most) that may be broadcast, 12 MB; beyond it they and the texts are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -261,7 +263,7 @@ def _partners(d: int):
     return rows
 
 
-def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
     """A copy of each row of a group for each pair of blocks that its own is in; rows of a pair side by side."""
     n = _store.partitions(rows.sparkSession)
     rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
@@ -442,12 +444,22 @@ def _classified(docs: DataFrame, threshold: float, recall: float, block: int, te
     return out
 
 
+def _beside_class(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows of classes of several with an aggregate of their class; null beside all others.
+
+    The rows of a class are spread over ``SALTS`` keys, so a large class is joined by several tasks.
+    """
+    several = rows.groupBy(F.col("class").alias("of")).agg(value.alias(name), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    several = several.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int"))
+    return salted.join(several, (F.col("class") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left").drop("of", "of_salt", "salt")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, texts: int = TEXTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (documents as similar as the threshold) of every document."""
     rows = _classified(docs, threshold, recall, block, texts, broadcast_rows)
-    least = rows.groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("class_id"))
-    joined = rows.join(least, F.col("class") == F.col("of"))
-    return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(_NO_ID)).alias("class_id"), "n_links")
+    joined = _beside_class(rows, F.min("doc_id"), "least")
+    return joined.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.nullif(F.coalesce("least", "doc_id"), F.lit(_NO_ID)).alias("class_id"), "n_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -458,8 +470,8 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: in
     """
     rows = _classified(docs, threshold, RECALL, BLOCK, TEXTS, broadcast_rows)
     rows = _store.written(rows.groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows")), "members")
-    first = rows.groupBy(F.col("class").alias("of")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    judged = rows.join(first, F.col("class") == F.col("of")).select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), "rows", (F.struct("doc_id", "h") != F.col("first")).alias("lost"))
+    judged = _beside_class(rows, F.min(F.struct("doc_id", "h")), "first")
+    judged = judged.select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), "rows", F.coalesce(F.struct("doc_id", "h") != F.col("first"), F.lit(False)).alias("lost"))
     judged = _store.written(judged.where("lost OR rows > 1"), "judged")
     lost, again = judged.where("lost").select("of_id", "of_h"), judged.where("NOT lost").select("of_id", "of_h")
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
