@@ -1,54 +1,57 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only at content-selected positions: the minimisers of runs of
-``K`` words over windows of ``W`` runs, so any passage of ``K + W - 1`` words
-keeps the same positions wherever it stands.  The kept suffixes are sorted by
-the run that they begin with and by the words after it; neighbours that agree
-are compared, and each match is extended to the right by the words that the
-neighbours share and to the left, one word at a time, up to the next
-minimiser's reach.  Whatever lies in a repeated passage of ``PASSAGE`` words is
-found, and nothing else: each passage is judged at the one minimiser that its
-own words select.
-
-A suffix carries its surroundings as 16-bit word hashes, ``W - 1`` words to
-each side, so texts are never shuffled.  Each task first merges suffixes with
-equal surroundings.  Of runs that very many suffixes begin with (found in a
-sample of the documents, which only steers the work) each passage is a row of
-its own, keyed and merged by the passage alone, so however many documents share
-it, it reaches the shuffle once per task.
+``K`` words over windows of ``W`` runs, so any passage of ``PASSAGE`` words
+keeps the same position wherever it stands.  Suffixes whose first run occurs
+once in the whole corpus repeat nothing and are dropped by a count of the runs'
+hashes.  The others are sorted by their words; the words that sorted neighbours
+share say how far to the right the members of an interval agree, and members
+are told apart to the left one word at a time.  So every passage of ``PASSAGE``
+words that stands in two places is found at the one suffix that its own words
+select, by its words and not by hashes, and nothing else is.
+
+Documents of one text (by SHA-256) are one: their later ones repeat all of it,
+and the first stands for several.  What begins with a run that very many
+suffixes begin with is split: each of its passages goes by itself, keyed by the
+SHA-256 of its words, with its first place from partial minima and by salted
+joins, so no task takes all suffixes of such a run.
 
 A null text counts as empty; texts of fewer words than a passage have no spans;
-of equal passages the first is that of the least doc_id and position; rows that
-repeat doc_id and text count once, as do rows without doc_id; an empty table gives an empty result;
-further columns of the input are ignored.
+of equal passages the first is that of the least doc_id (null last) and
+position; rows that repeat doc_id and text count once, as do rows without
+doc_id of one text; a doc_id that is no integer is an error; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm import _rows, _store, _text
 
 PASSAGE = 50
-K = 30
+K = 20
 W = PASSAGE - K + 1
 SIDE = W - 1
-#: Bytes of text whose suffixes are merged before the shuffle.
-MERGE = 8 << 20
-#: Documents with spans whose ids may be broadcast (bytes checked by rows); beyond it texts and spans are shuffled.
-BROADCAST_ROWS = 100_000
+#: A run is hot if more suffixes begin with it than this share of a partition's, and than this number.
+HOT_SHARE, HOT_LEAST = 1 / 8, 256
+#: Keys that the places of a repeated text or passage are spread over where they meet what is known of it.
+SALTS = 16
+#: Bytes of ids and positions that may be broadcast; beyond it they and the texts are shuffled.
+BROADCAST_BYTES = 12 << 20
 
-#: One document in so many is counted to find runs that very many suffixes begin with.
-SAMPLE = 32
-
-U64 = np.uint64
-_SCHEMA = "key long, doc_id long, pos int, lo int, hi int, sides binary, others binary"
+_NO_ID = np.iinfo(np.int64).max
+#: Kinds of rows of places: later occurrences, first ones, and all of a text that has copies.
+LATER, FIRST, ALL = 0, 1, 2
+_PLACES = "doc long, h long, kind int, lo int, hi int"
 
 
 def _window_least(g: np.ndarray) -> np.ndarray:
@@ -67,268 +70,319 @@ def _window_least(g: np.ndarray) -> np.ndarray:
     return at
 
 
-def suffixes(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """The kept suffixes of a column's texts: key, text number, word position, and 2 * SIDE words around (0 where the text ends).
-
-    Between position and words stand the least and the most words to the left with which a passage selects the suffix.
+class Suffixes:
+    """The kept suffixes of a column's texts, with the words to look around."""
 
-    The first SIDE columns are the words before the suffix, nearest first; the
-    others those after its first K words.
-    """
-    buf, off = _text.as_bytes(column)
-    ws, we, word_off = _text.words(buf, off)
-    h = _text.hash_spans(buf, ws, we)
-    n_words = np.diff(word_off)
-    total = len(h)
-    if total < PASSAGE:
+    def __init__(self, column: pa.Array) -> None:
+        buf, off = _text.as_bytes(column)
+        ws, we, self.word_off = _text.words(buf, off)
+        self.n_words = np.diff(self.word_off)
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z, z, np.zeros((0, 2 * SIDE), np.uint16)
-    g = _text.grams(h, K)
-    doc = np.repeat(np.arange(len(n_words)), n_words)
-    first = np.arange(total - PASSAGE + 1)
-    whole = doc[first] == doc[first + PASSAGE - 1]
-    first = first[whole]
-    at, begin, count = np.unique(_window_least(g)[first], return_index=True, return_counts=True)
-    most = at - first[begin]
-    least = at - first[begin + count - 1]  # a suffix's passages follow one another
-    owner = doc[at]
-    short = (h >> U64(48)).astype(np.uint16)
-    short[short == 0] = 1
-    lo, hi = word_off[owner], word_off[owner + 1]
-    sides = np.zeros((len(at), 2 * SIDE), np.uint16)
-    for j in range(SIDE):
-        i = at - 1 - j
-        ok = i >= lo
-        sides[ok, j] = short[i[ok]]
-        i = at + K + j
-        ok = i < hi
-        sides[ok, SIDE + j] = short[i[ok]]
-    return g[at], owner, at - lo, least, most, sides
-
-
-def _merged(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
-    """One row for each key and surroundings, the least (doc_id, pos) in front, the others packed."""
-    whole = _text.mix64(key.copy())
-    packed = np.ascontiguousarray(sides).view(np.uint64) if sides.shape[1] * 2 % 8 == 0 else None
-    for j in range(packed.shape[1]):
-        whole = _text.mix64(whole * U64(0xD6E8FEB86659FD93) + packed[:, j])
-    order = np.lexsort((pos, doc, whole))
-    w = whole[order]
-    begin = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-    count = np.diff(np.append(begin, len(w)))
-    head = order[begin]
-    pairs = np.zeros(len(order), np.dtype([("doc", "<i8"), ("pos", "<i4")]))
-    pairs["doc"], pairs["pos"] = doc[order], pos[order]
-    # a row that repeats another's doc_id and position is that one
-    others = [None] * len(head)
-    for k in np.flatnonzero(count > 1).tolist():
-        mine = np.unique(pairs[begin[k] : begin[k] + count[k]])
-        if len(mine) > 1:
-            others[k] = mine[1:].tobytes()
-    width = sides.shape[1] * 2
-    flat = np.ascontiguousarray(sides[head], "<u2")
-    binary = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.arange(len(head) + 1) * width).astype(np.int32)), pa.py_buffer(flat.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(doc[head]), pa.array(pos[head].astype(np.int32)), pa.array(least[head].astype(np.int32)), pa.array(most[head].astype(np.int32)), binary, pa.array(others, pa.binary())], ["key", "doc_id", "pos", "lo", "hi", "sides", "others"])
-
-
-def _around(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 0 to SIDE nearest words to the left, and to the right, of each suffix."""
-    left = np.zeros((SIDE + 1, len(sides)), np.uint64)
-    right = np.zeros((SIDE + 1, len(sides)), np.uint64)
-    for j in range(SIDE):
-        left[j + 1] = _text.mix64(left[j] + sides[:, j].astype(np.uint64) + U64(0x9E3779B97F4A7C15))
-        right[j + 1] = _text.mix64(right[j] + sides[:, SIDE + j].astype(np.uint64) + U64(0xC2B2AE3D27D4EB4F))
-    return left, right
-
-
-def _passage(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _text.mix64(key ^ _text.mix64(left.copy()) ^ (right << U64(1)))
-
-
-def _apart(kept: tuple[np.ndarray, ...], hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The suffixes with those of hot keys replaced by a row for each of their passages, which holds the passage's words alone."""
-    key, doc, pos, least, most, sides = kept
-    is_hot = np.isin(key, hot)
-    if not is_hot.any():
-        return kept
-    at = np.flatnonzero(is_hot)
-    rows = np.repeat(at, most[at] - least[at] + 1)
-    extend = _text.ragged(least[at], most[at] - least[at] + 1)
-    left, right = _around(sides[at])
-    local = np.repeat(np.arange(len(at)), most[at] - least[at] + 1)
-    keys = _passage(key[rows] + extend.astype(np.uint64), left[extend, local], right[SIDE - extend, local])
-    own = sides[rows]
-    place = np.arange(SIDE)
-    own[:, :SIDE][place >= extend[:, None]] = 0
-    own[:, SIDE:][place >= SIDE - extend[:, None]] = 0
-    rest = ~is_hot
-    new = (keys, doc[rows], pos[rows], extend, extend, own)
-    return tuple(np.concatenate([old[rest], more]) for old, more in zip(kept, new))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of suffixes and their counts, merged by batch."""
+        self.key, self.owner, self.at, self.least, self.most = z, z, z, z, z
+        self.raw, self.begin = b"", np.zeros(1, np.int64)
+        if len(ws) < PASSAGE:
+            return
+        g = _text.grams(_text.hash_spans(buf, ws, we), K)
+        doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        first = np.arange(len(ws) - PASSAGE + 1)
+        first = first[doc[first] == doc[first + PASSAGE - 1]]
+        if not len(first):
+            return
+        #: a suffix's passages follow one another: it is selected by those that begin most to least words before it
+        self.at, begin, count = np.unique(_window_least(g)[first], return_index=True, return_counts=True)
+        self.most = self.at - first[begin]
+        self.least = self.at - first[begin + count - 1]
+        self.key, self.owner = g[self.at].view(np.int64), doc[self.at]
+        self.buf, self.ws, self.we = buf, ws, we
+
+    @property
+    def pos(self) -> np.ndarray:
+        """Word positions in the texts."""
+        return self.at - self.word_off[self.owner]
+
+    def spell(self) -> None:
+        """Lays all words out with one space after each."""
+        length = self.we - self.ws + 1
+        self.begin = np.concatenate([[0], np.cumsum(length)])
+        flat = np.full(int(self.begin[-1]), 0x20, np.uint8)
+        inside = np.ones(len(flat), bool)
+        inside[self.begin[1:] - 1] = False
+        flat[inside] = self.buf[_text.ragged(self.ws, length - 1)]
+        self.raw = flat.tobytes()
+
+    def words(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The words a to b - 1 of the column, for many stretches."""
+        return [self.raw[x:y] for x, y in zip(self.begin[a].tolist(), self.begin[b].tolist())]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc, h (of the text's SHA-256) and text of every row."""
+    _rows.long_ids(docs)
+    rows = _rows.texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc", _text_key("text").alias("h"), "text")
+
+
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and positions of the suffixes of every text; a row without key has the number of words in place of the position."""
     for batch in batches:
-        text = batch.column("text")
+        text, ids, hs = (batch.column(c) for c in ("text", "doc", "h"))
         for a, b in _text.pieces(text):
-            key, count = np.unique(suffixes(text.slice(a, b - a))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
-
-
-def hot_keys(rows: DataFrame) -> np.ndarray:
-    """Keys with more than an eighth of a partition's share of the suffixes, 8 for each partition at most."""
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
-    counts = _store.written(sample.mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "suffix-keys")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    n = 8 * _store.partitions(rows.sparkSession)
-    found = counts.where(F.col("n") >= max(8, total / n)).orderBy(F.desc("n"), "key").limit(n).collect()
-    return np.sort(np.array([r["key"] for r in found], np.int64)).view(np.uint64)
+            found = Suffixes(text.slice(a, b - a))
+            doc, h = np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a))
+            owner = np.concatenate([found.owner, np.arange(b - a)])
+            key = pa.array(np.concatenate([found.key, np.zeros(b - a, np.int64)]), mask=np.arange(len(owner)) >= len(found.key))
+            pos = np.concatenate([found.pos, found.n_words]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([key, pa.array(doc[owner]), pa.array(h[owner]), pa.array(pos)], ["key", "doc", "h", "pos"])
+
+
+def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes, np.ndarray]]:
+    """By pieces of a batch with wanted positions: ids, hashes, suffixes, and which of them are wanted."""
+    text, ids, hs, wanted = (batch.column(c) for c in ("text", "doc", "h", "wanted"))
+    for a, b in _text.pieces(text):
+        found = Suffixes(text.slice(a, b - a))
+        if not len(found.at):
+            continue
+        found.spell()
+        part = wanted.slice(a, b - a)
+        places = found.word_off[:-1].repeat(np.asarray(part.value_lengths())) + np.asarray(part.flatten())
+        yield np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a)), found, np.flatnonzero(np.isin(found.at, places))
 
 
-def _select(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted suffixes: the words from each on, and those before it."""
     for batch in batches:
-        text, ids = batch.column("text"), batch.column("doc_id")
-        for a, b in _text.pieces(text):
-            key, owner, pos, least, most, sides = suffixes(text.slice(a, b - a))
-            mine = np.asarray(ids.slice(a, b - a).fill_null(np.iinfo(np.int64).max))
-            held.append(_apart((key, mine[owner], pos, least, most, sides), hot))
-            size += text.slice(a, b - a).nbytes
-            if size >= MERGE:
-                yield from _out(held)
-                held, size = [], 0
-    yield from _out(held)
-
-
-def _out(held: list[tuple[np.ndarray, ...]], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    if held:
-        batch = _merged(*(np.concatenate(x) for x in zip(*held)))
-        for i in range(0, len(batch), rows):
-            yield batch.slice(i, rows)
-
-
-def matches(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, sides: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, first words, and whether it is the first occurrence, of the passages that suffixes of equal key repeat.
-
-    For each number of words to the left the suffixes are sorted by those words
-    and the words to the right; neighbours that agree on PASSAGE words repeat
-    each other.  ``several`` marks rows that already stand for several places.
-    """
-    left, right = _around(sides)
-    by_place = np.lexsort((pos, doc))
-    found = []
+        for doc, h, found, use in _chosen(batch):
+            owner, at = found.owner[use], found.at[use]
+            after = found.words(at, np.minimum(at + PASSAGE, found.word_off[owner + 1]))
+            before = found.words(np.maximum(at - SIDE, found.word_off[owner]), at)
+            columns = [found.key[use], doc[owner], h[owner], found.pos[use].astype(np.int32), found.least[use].astype(np.int32), found.most[use].astype(np.int32)]
+            whole = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "h", "pos", "least", "most", "before", "after"])
+            for i in range(0, len(whole), 4000):
+                yield whole.slice(i, 4000)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each passage of the wanted suffixes by itself: the SHA-256 of its words, and where it begins."""
+    for batch in batches:
+        for doc, h, found, use in _chosen(batch):
+            n = found.most[use] - found.least[use] + 1
+            owner = np.repeat(found.owner[use], n)
+            at = np.repeat(found.at[use], n) - _text.ragged(found.least[use], n)
+            for i in range(0, len(at), 20_000):
+                a, o = at[i : i + 20_000], owner[i : i + 20_000]
+                digest = [hashlib.sha256(w).digest() for w in found.words(a, a + PASSAGE)]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(doc[o]), pa.array(h[o]), pa.array((a - found.word_off[o]).astype(np.int32))], ["passage", "doc", "h", "pos"])
+
+
+def _matrix(column: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, and the words of each row as such, -1 where it has no more; backwards: from the last on."""
+    buf, off = _text.as_bytes(column)
+    ws, we, word_off = _text.words(buf, off)
+    codes, _ = _text.distinct_spans(buf, ws, we)
+    n = np.diff(word_off)
+    out = np.full((len(n), width), -1, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(ws)) - np.repeat(word_off[:-1], n)
+    out[row, np.repeat(n, n) - 1 - place if backwards else place] = codes
+    return n, out
+
+
+def matches(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, before: pa.Array, after: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, kinds, and first and last beginnings, of the passages that sorted suffixes repeat."""
+    n = len(doc)
+    _, right = _matrix(after, PASSAGE)
+    _, left = _matrix(before, SIDE, backwards=True)
+    differ = right[1:] != right[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), PASSAGE)
+    order = np.lexsort((pos, h, doc))
+    step = (doc[order[1:]] != doc[order[:-1]]) | (h[order[1:]] != h[order[:-1]]) | (pos[order[1:]] != pos[order[:-1]])
+    place = np.empty(n, np.int64)  # a row that repeats another's place is that one
+    place[order] = np.concatenate([[0], np.cumsum(step)])
+    state = np.full((n, SIDE + 3), -1, np.int8)
+    lefts = np.zeros(n, np.int64)
+    width = int(left.max(initial=0)) + 2
     for extend in range(SIDE + 1):
-        mine = by_place[((least <= extend) & (extend <= most))[by_place]]
+        if extend:
+            lefts = pd.factorize(lefts * width + left[:, extend - 1] + 1)[0].astype(np.int64)
+        mine = np.flatnonzero((least <= extend) & (extend <= most))
         if not len(mine):
             continue
-        window = _passage(key[mine], left[extend][mine], right[SIDE - extend][mine])
-        order = np.argsort(window, kind="stable")  # by doc_id and position among equals
-        mine, window = mine[order], window[order]
-        new = np.append(True, window[1:] != window[:-1])
-        group = np.cumsum(new) - 1
-        twin = ~new  # the same place once more, from a repeated row
-        twin[1:] &= (doc[mine[1:]] == doc[mine[:-1]]) & (pos[mine[1:]] == pos[mine[:-1]])
-        places = np.bincount(group, weights=~twin)
-        again = ((places > 1) | (np.bincount(group, weights=several[mine]) > 0))[group]
-        is_first = new[np.maximum.accumulate(np.where(twin, 0, np.arange(len(mine))))]
-        found.append((mine[again], pos[mine[again]] - extend, is_first[again]))
-    if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(bool)
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _runs(rows: np.ndarray, start: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Passages of one row and kind that overlap, as one."""
-    order = np.lexsort((start, is_first, rows))
-    rows, start, is_first = rows[order], start[order], is_first[order]
-    new = np.append(True, (rows[1:] != rows[:-1]) | (is_first[1:] != is_first[:-1]) | (start[1:] > start[:-1] + PASSAGE)) if len(rows) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(rows)) - 1
-    return rows[begin], start[begin], start[last] + PASSAGE, is_first[begin]
+        # suffixes of an interval whose neighbours share the passage's words, told apart by the words before
+        rights = np.concatenate([[0], np.cumsum(shared < PASSAGE - extend)])
+        group = lefts[mine] * n + rights[mine]
+        by = np.argsort(group, kind="stable")
+        new = np.append(True, group[by][1:] != group[by][:-1])
+        start = np.flatnonzero(new)
+        own = place[mine[by]]
+        low, high = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start)
+        of = np.cumsum(new) - 1
+        state[mine[by], extend + 1] = np.where(low[of] == high[of], -1, np.where(own == low[of], FIRST, LATER))
+    out = []
+    for kind in (LATER, FIRST):
+        edge = np.diff((state == kind).astype(np.int8), axis=1)
+        rows, a = np.nonzero(edge == 1)
+        _, b = np.nonzero(edge == -1)
+        out.append((rows, np.full(len(rows), kind), pos[rows] - (b - 1), pos[rows] - a))  # extends a to b - 1
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to the passages of each: doc_id, start_word, end_word, is_first."""
+    """Sorted suffixes to the places of the passages that they repeat."""
     held: pa.Table | None = None
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = np.asarray(table.column("key").combine_chunks())
-        several = np.asarray(table.column("others").combine_chunks().is_valid())
-        same = np.zeros(len(key), bool)
-        same[1:] |= key[1:] == key[:-1]
-        same[:-1] |= key[1:] == key[:-1]
-        use = np.flatnonzero(same | several)
-        if not len(use):
-            return
-        table = table.take(pa.array(use))
-        doc, pos = np.asarray(table.column("doc_id").combine_chunks()), np.asarray(table.column("pos").combine_chunks()).astype(np.int64)
-        sides = np.frombuffer(b"".join(table.column("sides").to_pylist()), "<u2").reshape(len(use), 2 * SIDE)
-        others = table.column("others").to_pylist()
-        lo, hi = np.asarray(table.column("lo").combine_chunks()), np.asarray(table.column("hi").combine_chunks())
-        rows, start, first = matches(key[use].view(np.uint64), doc, pos, lo, hi, sides, several[use])
-        rows, start, end, first = _runs(rows, start, first)
-        out = [(doc[rows], start, end, first)]
-        # the places that a row stands for repeat what it repeats, and none of them is first
-        seen: dict[int, list[int]] = {}
-        for i, r in enumerate(rows.tolist()):
-            if others[r] is not None:
-                seen.setdefault(r, []).append(i)
-        for r, spans in seen.items():
-            places = np.frombuffer(others[r], np.dtype([("doc", "<i8"), ("pos", "<i4")]))
-            from_, to = start[spans].min() - pos[r], end[spans].max() - pos[r]
-            out.append((places["doc"], places["pos"] + from_, places["pos"] + to, np.zeros(len(places), bool)))
-        d, s, e, f = (np.concatenate(x) for x in zip(*out))
-        for i in range(0, len(d), 50_000):
+        get = lambda c: np.asarray(table.column(c).combine_chunks())
+        doc, h = get("doc"), get("h")
+        rows, kind, lo, hi = matches(doc, h, get("pos").astype(np.int64), get("least"), get("most"), table.column("before").combine_chunks(), table.column("after").combine_chunks())
+        for i in range(0, len(rows), 50_000):
             j = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(d[j]), pa.array(s[j].astype(np.int32)), pa.array(e[j].astype(np.int32)), pa.array(f[j])], ["doc_id", "start_word", "end_word", "is_first"])
+            columns = [doc[rows[j]], h[rows[j]], kind[j].astype(np.int32), lo[j].astype(np.int32), hi[j].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "h", "kind", "lo", "hi"])
 
     for batch in batches:
+        if not len(batch):
+            continue
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         key = np.asarray(held.column("key").combine_chunks())
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-        if cut >= 20_000:
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        if cut >= 4000:
             yield from done(held.slice(0, cut))
             held = held.slice(cut)
     if held is not None and len(held):
         yield from done(held)
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted intervals of each document and kind, merged where they overlap or touch."""
-    open_: list | None = None  # doc_id, is_first, start, end
-    for batch in batches:
-        out = []
-        for doc, first, s, e in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "is_first", "start_word", "end_word"))):
-            if open_ is not None and open_[0] == doc and open_[1] == first and s <= open_[3]:
-                open_[3] = max(open_[3], e)
-                continue
+    _text.release()
+
+
+class _Document:
+    """The places of one document's passages, gathered in order of kind and beginning."""
+
+    def __init__(self, doc: int, h: int) -> None:
+        self.who = doc, h
+        self.of: list[list[list[int]]] = [[], [], []]
+
+    def add(self, kind: int, lo: int, hi: int) -> None:
+        mine = self.of[kind]
+        if mine and lo <= mine[-1][1] + 1:
+            mine[-1][1] = max(mine[-1][1], hi)
+        else:
+            mine.append([lo, hi])
+
+    def spans(self) -> Iterator[tuple[int, int, bool]]:
+        """Word spans of later and of first occurrences; overlapping or touching passages of a kind are one."""
+        later, first, whole = self.of
+        if whole:  # each passage that no other document has before is a first one
+            first, at = [], 0
+            for lo, hi in [*later, [whole[0][1] + 1, 0]]:
+                if at < lo:
+                    first.append([at, lo - 1])
+                at = max(at, hi + 1)
+        for kind, places in ((False, later), (True, first)):
+            open_: list[int] | None = None
+            for lo, hi in places:
+                if open_ is not None and lo <= open_[1]:
+                    open_[1] = max(open_[1], hi + PASSAGE)
+                    continue
+                if open_ is not None:
+                    yield *open_, kind
+                open_ = [lo, hi + PASSAGE]
             if open_ is not None:
-                out.append(open_)
-            open_ = [doc, first, s, e]
-        if out:
-            yield _spans(out)
-    if open_ is not None:
-        yield _spans([open_])
+                yield *open_, kind
 
 
-def _spans(rows: list[list]) -> pa.RecordBatch:
-    d, f, s, e = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(f, pa.bool_())], ["doc_id", "start_word", "end_word", "is_first"])
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted places to the spans of each document."""
+    now: _Document | None = None
+    out: list[tuple] = []
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc", "h", "start_word", "end_word", "is_first"])
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word, is_first: what each document has of repeated passages, the first occurrence apart from the later ones."""
+    for batch in batches:
+        for doc, h, kind, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "kind", "lo", "hi"))):
+            if now is None or now.who != (doc, h):
+                out += [(*now.who, *s) for s in now.spans()] if now else []
+                now = _Document(doc, h)
+            now.add(kind, lo, hi)
+        if len(out) >= 5000:
+            yield batch_of(out)
+            out = []
+    out += [(*now.who, *s) for s in now.spans()] if now else []
+    if out:
+        yield batch_of(out)
+
+
+def _beside(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """The rows with what is known of their key; a hot key's rows are joined by several tasks."""
+    known = known.withColumnRenamed(on, "__of").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__of_salt"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc", "h"), F.lit(SALTS)).cast("int"))
+    return salted.join(known, (F.col(on) == F.col("__of")) & (F.col("__salt") == F.col("__of_salt"))).drop("__of", "__of_salt", "__salt")
+
+
+def _with_wanted(rows: DataFrame, positions: DataFrame, limit: int) -> DataFrame | None:
+    """The texts with positions of theirs, beside these; None if there are no positions."""
+    wanted = _store.written(positions.groupBy(F.col("doc").alias("d"), F.col("h").alias("k")).agg(F.sort_array(F.collect_list("pos")).alias("wanted")), "wanted")
+    n, total = wanted.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
+    if not n:
+        return None
+    small = 40 * n + 4 * total <= limit
+    return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k"))).drop("d", "k")
+
+
+def places(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
+    """doc, h, start_word, end_word, is_first: the spans of documents by id (or a number for none) and text."""
     n = _store.partitions(docs.sparkSession)
-    rows = _rows.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = hot_keys(rows)
-    kept = rows.mapInArrow(lambda batches: _select(batches, hot), _SCHEMA).repartition(n, "key").sortWithinPartitions("key")
-    found = kept.mapInArrow(_compare, "doc_id long, start_word int, end_word int, is_first boolean")
-    found = found.repartition(n, "doc_id").sortWithinPartitions("doc_id", "is_first", "start_word", "end_word")
-    found = found.mapInArrow(_joined, "doc_id long, start_word int, end_word int, is_first boolean")
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(np.iinfo(np.int64).max)))
+    rows = _identified(docs)
+    # documents of one text are one: the one of least doc_id
+    pairs = _store.written(rows.select("doc", "h").distinct(), "documents")
+    copied = _store.written(pairs.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
+    later = _store.written(_beside(pairs, copied, "h").where("doc > first").select(F.col("doc").alias("d"), F.col("h").alias("k")), "later")
+    small = 60 * later.count() <= broadcast_bytes
+    own = rows.join(F.broadcast(later) if small else later.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k")), "left_anti")
+    kept = _store.written(own.mapInArrow(_kept, "key long, doc long, h long, pos int"), "suffixes")
+    lengths = kept.where(f"key IS NULL AND pos >= {PASSAGE}").select("doc", F.col("h").alias("of"), F.col("pos").alias("n_words"))
+    kept = kept.where("key IS NOT NULL")
+    counts = _store.written(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "runs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(hot_least, HOT_SHARE * total / n)
+    # no more than partitions / HOT_SHARE keys have so many suffixes
+    hot = [r["key"] for r in counts.where(F.col("n") > limit).collect()]
+    common = counts.where(F.col("n") <= limit).select(F.col("key").alias("run"))
+    found = kept.join(common, F.col("key") == F.col("run")).select("doc", "h", "pos")
+    parts = []
+    texts = _with_wanted(rows, found, broadcast_bytes)
+    if texts is not None:
+        windows = texts.mapInArrow(_windows, "key long, doc long, h long, pos int, least int, most int, before binary, after binary")
+        windows = windows.repartition(n, "key").sortWithinPartitions("key", "after")
+        parts.append(windows.mapInArrow(_compare, _PLACES))
+    texts = _with_wanted(rows, kept.where(F.col("key").isin(hot)).select("doc", "h", "pos"), broadcast_bytes) if hot else None
+    if texts is not None:
+        passages = _store.written(texts.mapInArrow(_passages, "passage binary, doc long, h long, pos int"), "passages")
+        at = F.struct("doc", "h", "pos")
+        several = passages.groupBy("passage").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least < most").select("passage", "least")
+        again = _beside(passages, several, "passage")
+        parts.append(again.select("doc", "h", F.when(at == F.col("least"), FIRST).otherwise(LATER).alias("kind"), F.col("pos").alias("lo"), F.col("pos").alias("hi")))
+    long = copied.join(lengths, (F.col("h") == F.col("of")) & (F.col("doc") == F.col("first"))).select("h", "first", "n_words")
+    long = _store.written(long.distinct(), "copied")
+    last = (F.col("n_words") - PASSAGE).alias("hi")
+    parts.append(long.select(F.col("first").alias("doc"), "h", F.lit(ALL).alias("kind"), F.lit(0).alias("lo"), last))
+    parts.append(_beside(later.select(F.col("d").alias("doc"), F.col("k").alias("h")), long, "h").select("doc", "h", F.lit(LATER).alias("kind"), F.lit(0).alias("lo"), last))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.repartition(n, "doc", "h").sortWithinPartitions("doc", "h", "kind", "lo")
+    return whole.mapInArrow(_joined, "doc long, h long, start_word int, end_word int, is_first boolean")
+
+
+def spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
+    """doc_id, start_word, end_word, is_first: what each document has of repeated passages, the first occurrence apart from the later ones."""
+    found = places(docs, broadcast_bytes, hot_least)
+    return found.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "start_word", "end_word", "is_first")
 
 
 def cut(text: str | None, found: list[tuple[int, int]]) -> str | None:
@@ -347,15 +401,17 @@ def cut(text: str | None, found: list[tuple[int, int]]) -> str | None:
     return b"".join(out).decode()
 
 
-def remove_repeats(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every document without the later occurrences of repeated passages; n_chars, where there is one, follows."""
-    found = spans(docs).where("NOT is_first").groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    found = places(docs, broadcast_bytes).where("NOT is_first").groupBy(F.col("doc").alias("of"), F.col("h").alias("of_h")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     found = _store.written(found, "cuts")
+    n, total = found.agg(F.count(F.lit(1)), F.sum(F.size("cuts"))).first()
+    small = 60 * n + 8 * (total or 0) <= broadcast_bytes
     names, at, key = docs.columns, docs.columns.index("text"), docs.columns.index("doc_id")
     held = [f"c{i}" for i in range(len(names))]
     inner = docs.toDF(*held)
-    on = F.col(f"c{key}") == F.col("of")
-    joined = inner.join(F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge"), on, "left").drop("of")
+    on = (F.coalesce(F.col(f"c{key}").cast("long"), F.lit(_NO_ID)) == F.col("of")) & (_text_key(f"c{at}") == F.col("of_h"))
+    joined = inner.join(F.broadcast(found) if small else found.hint("merge"), on, "left").drop("of", "of_h")
     length = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else -1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,13 +9,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import _components, _store, forest, html, queries, suffix, warc
+from tarn.llm import _components, _store, _text, forest, html, queries, suffix, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -174,6 +175,11 @@ def test_doc_ids_that_are_no_integers_are_refused(spark):
 # repeated passages
 
 
+def sentence(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"s{rng.randrange(3000)}" for _ in range(n))
+
+
 def brute_spans(rows, size=suffix.PASSAGE):
     seen = defaultdict(list)
     for d, t in sorted(set((d, t or "") for d, t in rows)):
@@ -223,11 +229,11 @@ def test_spans_of_awkward_documents(awkward, nothing):
     assert suffix.spans(nothing).count() == 0 and suffix.remove_repeats(nothing).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_removal(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [12 << 20, -1])
+def test_removal(spark, broadcast_bytes):
     rows = list(enumerate(repeated_texts(3)))
     docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in rows], "doc_id long, text string, n_chars long, of string")
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs, broadcast_rows).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs, broadcast_bytes).collect()}
     gone = defaultdict(set)
     for d, a, b, first in brute_spans(rows):
         if not first:
@@ -371,15 +377,59 @@ def test_common_sizes():
     assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(first) for j, b in enumerate(second))
 
 
-def test_spans_of_hot_runs(spark, monkeypatch):
+@pytest.mark.parametrize("hot_least", [1, 3])
+def test_spans_of_hot_runs(spark, monkeypatch, hot_least):
+    monkeypatch.setattr(suffix, "HOT_SHARE", 1e-9)
     rows = list(enumerate(repeated_texts(5)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    texts = docs.select("doc_id", "text")
-    monkeypatch.setattr(suffix, "SAMPLE", 1)
-    hot = suffix.hot_keys(texts)
-    assert len(hot)
-    monkeypatch.setattr(suffix, "hot_keys", lambda _: hot)
-    assert {tuple(r) for r in suffix.spans(docs).collect()} == brute_spans(rows)
+    got = [tuple(r) for r in suffix.spans(docs, hot_least=hot_least).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(rows)
+
+
+def test_spans_by_words_and_not_by_hashes(spark, monkeypatch):
+    # a hash that takes all words of one length for one, so runs and minimisers meet that share no words
+    rows = list(enumerate(repeated_texts(6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = [t or "" for _, t in rows]
+    monkeypatch.setattr(_text, "hash_spans", lambda buf, s, e: _text.mix64((e - s).astype(np.uint64)))
+    column = pa.array(texts)
+    found = suffix.Suffixes(column)
+    found.spell()
+    after = found.words(found.at, np.minimum(found.at + suffix.PASSAGE, found.word_off[found.owner + 1]))
+    before = found.words(np.maximum(found.at - suffix.SIDE, found.word_off[found.owner]), found.at)
+    order = sorted(range(len(after)), key=lambda i: (int(found.key[i]), after[i]))
+    take = lambda x: np.asarray(x)[order]
+    owner, pos = take(found.owner), take(found.pos)
+    r, kind, lo, hi = suffix.matches(owner, owner * 0, pos, take(found.least), take(found.most), pa.array([before[i] for i in order], pa.binary()), pa.array([after[i] for i in order], pa.binary()))
+    got = defaultdict(set)
+    for i, k, a, b in zip(r.tolist(), kind.tolist(), lo.tolist(), hi.tolist()):
+        got[int(owner[i]), k == suffix.FIRST] |= set(range(a, b + 1))
+    want = defaultdict(set)
+    places = defaultdict(list)
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i in range(len(w) - suffix.PASSAGE + 1):
+            places[tuple(w[i : i + suffix.PASSAGE])].append((d, i))
+    for at in places.values():
+        for k, (d, i) in enumerate(at if len(at) > 1 else []):
+            want[d, k == 0].add(i)
+    assert got == want
+
+
+def test_copies_and_what_they_share_with_others(spark):
+    a, b, c = sentence(31, 120), sentence(32, 90), sentence(33, 70)
+    rows = [(5, a), (3, a), (9, a), (4, f"{c} {a} {c}"), (1, b), (7, b), (2, " ".join(a.split()[20:90])), (8, c), (6, "short text"), (10, "short text"), (11, a), (11, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in suffix.spans(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(rows)
+
+
+def test_cuts_go_by_text_where_doc_ids_repeat(spark):
+    a, b = sentence(41, 80), sentence(42, 80)
+    rows = [(1, a), (2, f"x {a}"), (2, f"{b} y"), (None, f"{a} z"), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in suffix.remove_repeats(docs).collect())
+    assert got == Counter([(1, a), (2, "x "), (2, f"{b} y"), (None, "z"), (None, "")])
 
 
 def test_rows_without_doc_id_and_doc_ids_of_two_texts(spark):
