@@ -12,9 +12,10 @@ select, by its words and not by hashes, and nothing else is.
 
 Documents of one text (by SHA-256) are one: their later ones repeat all of it,
 and the first stands for several.  What begins with a run that very many
-suffixes begin with is split: each of its passages goes by itself, keyed by the
-SHA-256 of its words, with its first place from partial minima and by salted
-joins, so no task takes all suffixes of such a run.
+suffixes begin with is split: each of its passages goes by itself, as the
+SHA-256 of its words.  These are sorted with their places over all partitions,
+and neighbours say which repeat; so no task takes all of such a run, nor all
+places of a passage.
 
 A null text counts as empty; texts of fewer words than a passage have no spans;
 of equal passages the first is that of the least doc_id (null last) and
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,7 @@ SIDE = W - 1
 HOT_SHARE, HOT_LEAST = 1 / 8, 256
 #: Keys that the places of a repeated text or passage are spread over where they meet what is known of it.
 SALTS = 16
-#: Bytes of ids and positions that may be broadcast; beyond it they and the texts are shuffled.
+#: Bytes of ids and spans to cut that may be broadcast; beyond it they and the texts are shuffled.
 BROADCAST_BYTES = 12 << 20
 
 _NO_ID = np.iinfo(np.int64).max
@@ -324,54 +326,93 @@ def _beside(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
     return salted.join(known, (F.col(on) == F.col("__of")) & (F.col("__salt") == F.col("__of_salt"))).drop("__of", "__of_salt", "__salt")
 
 
-def _with_wanted(rows: DataFrame, positions: DataFrame, limit: int) -> DataFrame | None:
-    """The texts with positions of theirs, beside these; None if there are no positions."""
-    wanted = _store.written(positions.groupBy(F.col("doc").alias("d"), F.col("h").alias("k")).agg(F.sort_array(F.collect_list("pos")).alias("wanted")), "wanted")
-    n, total = wanted.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
-    if not n:
+def _with_wanted(rows: DataFrame, positions: DataFrame) -> DataFrame | None:
+    """The texts with positions of theirs, of each text the first document, beside these; None if there are no positions."""
+    wanted = positions.groupBy(F.col("h").alias("k")).agg(F.min("doc").alias("d"), F.array_sort(F.collect_set("pos")).alias("wanted"))
+    wanted = _store.written(wanted, "wanted")
+    if wanted.isEmpty():
         return None
-    small = 40 * n + 4 * total <= limit
-    return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k"))).drop("d", "k")
+    return rows.join(wanted.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k"))).drop("d", "k")
 
 
-def places(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted passages: whether the ones before and after are the same (null at the partition's ends, where the passage itself stands too)."""
+    part = TaskContext.get().partitionId()
+    held: pa.Table | None = None
+    begun = False
+
+    def out(table: pa.Table, n: int, last: bool) -> pa.RecordBatch:
+        """Marks of the first n rows; the row before them is the table's first unless they begin the partition."""
+        skip = int(begun)
+        passage = table.column("passage").to_pylist()
+        same = [x == y for x, y in zip(passage, passage[1:])]
+        before = ([] if begun else [None]) + same[: n - 1 + skip]
+        after = same[skip : skip + n] + ([None] if last else [])
+        whole = table.slice(skip, n).combine_chunks()
+        ends = [p if b is None or a is None else None for p, b, a in zip(passage[skip:], before, after)]
+        columns = [*(pa.array(np.asarray(whole.column(c).combine_chunks())) for c in ("doc", "h", "pos")), pa.array(before, pa.bool_()), pa.array(after, pa.bool_()), pa.array(ends, pa.binary()), pa.array(np.full(n, part, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "h", "pos", "before", "after", "end", "part"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        n = len(held) - int(begun) - 1  # a row waits for the one after it
+        if n > 0:
+            yield out(held, n, False)
+            held = held.slice(len(held) - 2)
+            begun = True
+    if held is not None and len(held) > int(begun):
+        yield out(held, len(held) - int(begun), True)
+
+
+def _sorted_passages(passages: DataFrame) -> DataFrame:
+    """The places of passages that stand in several, by sorting all of them with their places over all partitions."""
+    order = ["passage", "doc", "h", "pos"]
+    marked = passages.repartitionByRange(_store.partitions(passages.sparkSession), *order).sortWithinPartitions(*order)
+    marked = _store.written(marked.mapInArrow(_neighbours, "doc long, h long, pos int, before boolean, after boolean, end binary, part int"), "passages")
+    # the first and the last passage of each partition
+    ends = sorted((r["part"], r["before"] is not None, bytes(r["end"])) for r in marked.where("end IS NOT NULL").select("part", "before", "end").collect())
+    met = {a[0]: (b[0], a[2] == b[2]) for a, b in zip(ends, ends[1:]) if a[0] != b[0]}
+    goes_on = [p for p, (_, same) in met.items() if same]
+    went_on = [q for q, same in met.values() if same]
+    before, after = F.coalesce("before", F.col("part").isin(went_on)), F.coalesce("after", F.col("part").isin(goes_on))
+    kept = marked.withColumns({"same": before, "again": before | after}).where("again")
+    return kept.select("doc", "h", F.when(F.col("same"), LATER).otherwise(FIRST).alias("kind"), F.col("pos").alias("lo"), F.col("pos").alias("hi"))
+
+
+def places(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc, h, start_word, end_word, is_first: the spans of documents by id (or a number for none) and text."""
     n = _store.partitions(docs.sparkSession)
     rows = _identified(docs)
+    kept = _store.written(rows.mapInArrow(_kept, "key long, doc long, h long, pos int"), "suffixes")
     # documents of one text are one: the one of least doc_id
-    pairs = _store.written(rows.select("doc", "h").distinct(), "documents")
-    copied = _store.written(pairs.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
-    later = _store.written(_beside(pairs, copied, "h").where("doc > first").select(F.col("doc").alias("d"), F.col("h").alias("k")), "later")
-    small = 60 * later.count() <= broadcast_bytes
-    own = rows.join(F.broadcast(later) if small else later.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("h") == F.col("k")), "left_anti")
-    kept = _store.written(own.mapInArrow(_kept, "key long, doc long, h long, pos int"), "suffixes")
-    lengths = kept.where(f"key IS NULL AND pos >= {PASSAGE}").select("doc", F.col("h").alias("of"), F.col("pos").alias("n_words"))
+    pairs = kept.where("key IS NULL").select("doc", "h", F.col("pos").alias("n_words")).distinct()
+    pairs = _store.written(pairs, "documents")
+    copied = pairs.groupBy("h").agg(F.min("doc").alias("first"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copied = _store.written(copied, "copied")
     kept = kept.where("key IS NOT NULL")
-    counts = _store.written(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "runs")
+    # a run repeats where it stands in two texts or at two places of one
+    at = F.struct("h", "pos")
+    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi").select("key", "n")
+    counts = _store.written(counts, "runs")
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(hot_least, HOT_SHARE * total / n)
     # no more than partitions / HOT_SHARE keys have so many suffixes
     hot = [r["key"] for r in counts.where(F.col("n") > limit).collect()]
     common = counts.where(F.col("n") <= limit).select(F.col("key").alias("run"))
-    found = kept.join(common, F.col("key") == F.col("run")).select("doc", "h", "pos")
     parts = []
-    texts = _with_wanted(rows, found, broadcast_bytes)
+    texts = _with_wanted(rows, kept.join(common, F.col("key") == F.col("run")).select("doc", "h", "pos"))
     if texts is not None:
         windows = texts.mapInArrow(_windows, "key long, doc long, h long, pos int, least int, most int, before binary, after binary")
         windows = windows.repartition(n, "key").sortWithinPartitions("key", "after")
         parts.append(windows.mapInArrow(_compare, _PLACES))
-    texts = _with_wanted(rows, kept.where(F.col("key").isin(hot)).select("doc", "h", "pos"), broadcast_bytes) if hot else None
+    texts = _with_wanted(rows, kept.where(F.col("key").isin(hot)).select("doc", "h", "pos")) if hot else None
     if texts is not None:
-        passages = _store.written(texts.mapInArrow(_passages, "passage binary, doc long, h long, pos int"), "passages")
-        at = F.struct("doc", "h", "pos")
-        several = passages.groupBy("passage").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least < most").select("passage", "least")
-        again = _beside(passages, several, "passage")
-        parts.append(again.select("doc", "h", F.when(at == F.col("least"), FIRST).otherwise(LATER).alias("kind"), F.col("pos").alias("lo"), F.col("pos").alias("hi")))
-    long = copied.join(lengths, (F.col("h") == F.col("of")) & (F.col("doc") == F.col("first"))).select("h", "first", "n_words")
-    long = _store.written(long.distinct(), "copied")
+        parts.append(_sorted_passages(texts.mapInArrow(_passages, "passage binary, doc long, h long, pos int").distinct()))
     last = (F.col("n_words") - PASSAGE).alias("hi")
-    parts.append(long.select(F.col("first").alias("doc"), "h", F.lit(ALL).alias("kind"), F.lit(0).alias("lo"), last))
-    parts.append(_beside(later.select(F.col("d").alias("doc"), F.col("k").alias("h")), long, "h").select("doc", "h", F.lit(LATER).alias("kind"), F.lit(0).alias("lo"), last))
+    parts.append(copied.where(F.col("n_words") >= PASSAGE).select(F.col("first").alias("doc"), "h", F.lit(ALL).alias("kind"), F.lit(0).alias("lo"), last))
+    later = _beside(pairs.select("doc", "h"), copied, "h").where((F.col("doc") > F.col("first")) & (F.col("n_words") >= PASSAGE))
+    parts.append(later.select("doc", "h", F.lit(LATER).alias("kind"), F.lit(0).alias("lo"), last))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -379,9 +420,9 @@ def places(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_least: i
     return whole.mapInArrow(_joined, "doc long, h long, start_word int, end_word int, is_first boolean")
 
 
-def spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
+def spans(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, start_word, end_word, is_first: what each document has of repeated passages, the first occurrence apart from the later ones."""
-    found = places(docs, broadcast_bytes, hot_least)
+    found = places(docs, hot_least)
     return found.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "start_word", "end_word", "is_first")
 
 
@@ -403,7 +444,7 @@ def cut(text: str | None, found: list[tuple[int, int]]) -> str | None:
 
 def remove_repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every document without the later occurrences of repeated passages; n_chars, where there is one, follows."""
-    found = places(docs, broadcast_bytes).where("NOT is_first").groupBy(F.col("doc").alias("of"), F.col("h").alias("of_h")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    found = places(docs).where("NOT is_first").groupBy(F.col("doc").alias("of"), F.col("h").alias("of_h")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     found = _store.written(found, "cuts")
     n, total = found.agg(F.count(F.lit(1)), F.sum(F.size("cuts"))).first()
     small = 60 * n + 8 * (total or 0) <= broadcast_bytes
