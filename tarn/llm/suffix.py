@@ -43,8 +43,8 @@ PASSAGE = 50
 K = 20
 W = PASSAGE - K + 1
 SIDE = W - 1
-#: A run is hot if more suffixes begin with it than this share of a partition's, and than this number.
-HOT_SHARE, HOT_LEAST = 1 / 8, 256
+#: A run is hot if more suffixes begin with it than one task compares in a second or two, with some 20 MB.
+HOT = 20_000
 #: Keys that the places of a repeated text or passage are spread over where they meet what is known of it.
 SALTS = 16
 #: Bytes of ids and spans to cut that may be broadcast; beyond it they and the texts are shuffled.
@@ -380,7 +380,7 @@ def _sorted_passages(passages: DataFrame) -> DataFrame:
     return kept.select("doc", "h", F.when(F.col("same"), LATER).otherwise(FIRST).alias("kind"), F.col("pos").alias("lo"), F.col("pos").alias("hi"))
 
 
-def places(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
+def places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, h, start_word, end_word, is_first: the spans of documents by id (or a number for none) and text."""
     n = _store.partitions(docs.sparkSession)
     rows = _identified(docs)
@@ -396,19 +396,20 @@ def places(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi").select("key", "n")
     counts = _store.written(counts, "runs")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(hot_least, HOT_SHARE * total / n)
-    # no more than partitions / HOT_SHARE keys have so many suffixes
-    hot = [r["key"] for r in counts.where(F.col("n") > limit).collect()]
-    common = counts.where(F.col("n") <= limit).select(F.col("key").alias("run"))
+    # no more than eight times the partitions' number have more than an eighth of a partition's suffixes: they go by a list, all others by a join
+    share = max(hot, total / (8 * n))
+    largest = [r["key"] for r in counts.where(F.col("n") > share).collect()]
+    known = kept.join(counts.where(F.col("n") <= share).withColumnRenamed("key", "run"), F.col("key") == F.col("run"))
     parts = []
-    texts = _with_wanted(rows, kept.join(common, F.col("key") == F.col("run")).select("doc", "h", "pos"))
+    texts = _with_wanted(rows, known.where(F.col("n") <= hot).select("doc", "h", "pos"))
     if texts is not None:
         windows = texts.mapInArrow(_windows, "key long, doc long, h long, pos int, least int, most int, before binary, after binary")
         windows = windows.repartition(n, "key").sortWithinPartitions("key", "after")
         parts.append(windows.mapInArrow(_compare, _PLACES))
-    texts = _with_wanted(rows, kept.where(F.col("key").isin(hot)).select("doc", "h", "pos")) if hot else None
-    if texts is not None:
-        parts.append(_sorted_passages(texts.mapInArrow(_passages, "passage binary, doc long, h long, pos int").distinct()))
+    if not counts.where(F.col("n") > hot).isEmpty():
+        found = known.where(F.col("n") > hot).select("doc", "h", "pos").union(kept.where(F.col("key").isin(largest)).select("doc", "h", "pos"))
+        passages = _with_wanted(rows, found).mapInArrow(_passages, "passage binary, doc long, h long, pos int")
+        parts.append(_sorted_passages(passages.distinct()))
     last = (F.col("n_words") - PASSAGE).alias("hi")
     parts.append(copied.where(F.col("n_words") >= PASSAGE).select(F.col("first").alias("doc"), "h", F.lit(ALL).alias("kind"), F.lit(0).alias("lo"), last))
     later = _beside(pairs.select("doc", "h"), copied, "h").where((F.col("doc") > F.col("first")) & (F.col("n_words") >= PASSAGE))
@@ -420,9 +421,9 @@ def places(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     return whole.mapInArrow(_joined, "doc long, h long, start_word int, end_word int, is_first boolean")
 
 
-def spans(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
+def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, start_word, end_word, is_first: what each document has of repeated passages, the first occurrence apart from the later ones."""
-    found = places(docs, hot_least)
+    found = places(docs, hot)
     return found.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "start_word", "end_word", "is_first")
 
 

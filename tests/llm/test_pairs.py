@@ -377,12 +377,11 @@ def test_common_sizes():
     assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(first) for j, b in enumerate(second))
 
 
-@pytest.mark.parametrize("hot_least", [1, 3])
-def test_spans_of_hot_runs(spark, monkeypatch, hot_least):
-    monkeypatch.setattr(suffix, "HOT_SHARE", 1e-9)
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_spans_of_hot_runs(spark, hot):
     rows = list(enumerate(repeated_texts(5)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in suffix.spans(docs, hot_least=hot_least).collect()]
+    got = [tuple(r) for r in suffix.spans(docs, hot=hot).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_spans(rows)
 
 
