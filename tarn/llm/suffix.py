@@ -399,7 +399,8 @@ def places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # no more than eight times the partitions' number have more than an eighth of a partition's suffixes: they go by a list, all others by a join
     share = max(hot, total / (8 * n))
     largest = [r["key"] for r in counts.where(F.col("n") > share).collect()]
-    known = kept.join(counts.where(F.col("n") <= share).withColumnRenamed("key", "run"), F.col("key") == F.col("run"))
+    # always by a shuffle: the list of repeated runs grows with the corpus
+    known = kept.join(counts.where(F.col("n") <= share).withColumnRenamed("key", "run").hint("merge"), F.col("key") == F.col("run"))
     parts = []
     texts = _with_wanted(rows, known.where(F.col("n") <= hot).select("doc", "h", "pos"))
     if texts is not None:
