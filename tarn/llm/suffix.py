@@ -12,7 +12,7 @@ select, by its words and not by hashes, and nothing else is.
 
 Documents of one text (by SHA-256) are one: their later ones repeat all of it,
 and the first stands for several.  What begins with a run that very many
-suffixes begin with is split: each of its passages goes by itself, as the
+texts have is split: each of its passages goes by itself, as the
 SHA-256 of its words.  These are sorted with their places over all partitions,
 and neighbours say which repeat; so no task takes all of such a run, nor all
 places of a passage.
@@ -43,7 +43,7 @@ PASSAGE = 50
 K = 20
 W = PASSAGE - K + 1
 SIDE = W - 1
-#: A run is hot if more suffixes begin with it than one task compares in a second or two, with some 20 MB.
+#: A run is hot if more texts have it than one task compares in some seconds, with some 20 MB of words.
 HOT = 20_000
 #: Keys that the places of a repeated text or passage are spread over where they meet what is known of it.
 SALTS = 16
@@ -129,16 +129,20 @@ def _text_key(text: str) -> Column:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys and positions of the suffixes of every text; a row without key has the number of words in place of the position."""
+    """The runs that suffixes of each text begin with, each once, with their positions; a row without key has the number of words instead."""
     for batch in batches:
         text, ids, hs = (batch.column(c) for c in ("text", "doc", "h"))
         for a, b in _text.pieces(text):
             found = Suffixes(text.slice(a, b - a))
             doc, h = np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a))
-            owner = np.concatenate([found.owner, np.arange(b - a)])
-            key = pa.array(np.concatenate([found.key, np.zeros(b - a, np.int64)]), mask=np.arange(len(owner)) >= len(found.key))
-            pos = np.concatenate([found.pos, found.n_words]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([key, pa.array(doc[owner]), pa.array(h[owner]), pa.array(pos)], ["key", "doc", "h", "pos"])
+            order = np.lexsort((found.key, found.owner))
+            key, owner = found.key[order], found.owner[order]
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
+            who = np.concatenate([owner[begin], np.arange(b - a)])
+            keys = pa.array(np.concatenate([key[begin], np.zeros(b - a, np.int64)]), mask=np.arange(len(who)) >= len(begin))
+            ends = np.concatenate([begin, len(key) + np.arange(b - a + 1)]).astype(np.int32)
+            pos = np.concatenate([found.pos[order], found.n_words]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(doc[who]), pa.array(h[who]), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos))], ["key", "doc", "h", "pos"])
 
 
 def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes, np.ndarray]]:
@@ -154,17 +158,54 @@ def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suf
         yield np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a)), found, np.flatnonzero(np.isin(found.at, places))
 
 
+def _merged(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each owner, those that overlap or touch as one."""
+    order = np.lexsort((hi, lo, owner))
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    shift = owner * (int(hi.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(hi + shift)
+    new = np.append(True, (lo + shift)[1:] > reach[:-1] + 1) if len(owner) else np.zeros(0, bool)
+    new[1:] |= owner[1:] != owner[:-1]
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(owner)) - 1
+    return owner[begin], lo[begin], (reach - shift)[last]
+
+
+_WINDOWS = "key long, doc long, h long, pos int, least int, most int, several boolean, before binary, after binary"
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted suffixes: the words from each on, and those before it."""
+    """The wanted suffixes: the words from each on, and those before it.
+
+    Suffixes with the same words around are one row, that of the first place.
+    The passages of the others are later occurrences, whatever else there is:
+    rows without words, from pos to most.
+    """
+    names = ["key", "doc", "h", "pos", "least", "most", "several", "before", "after"]
     for batch in batches:
         for doc, h, found, use in _chosen(batch):
+            place = doc[found.owner[use]], h[found.owner[use]], found.pos[use]
+            order = np.lexsort(place[::-1])
+            new = np.append(True, np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in place])) if len(order) else order.astype(bool)
+            use = use[order[new]]  # a repeated row has the places of the other
             owner, at = found.owner[use], found.at[use]
+            least, most, pos = found.least[use], found.most[use], found.pos[use]
             after = found.words(at, np.minimum(at + PASSAGE, found.word_off[owner + 1]))
             before = found.words(np.maximum(at - SIDE, found.word_off[owner]), at)
-            columns = [found.key[use], doc[owner], h[owner], found.pos[use].astype(np.int32), found.least[use].astype(np.int32), found.most[use].astype(np.int32)]
-            whole = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "doc", "h", "pos", "least", "most", "before", "after"])
+            met: dict[tuple, int] = {}
+            code = np.fromiter((met.setdefault(w, i) for i, w in enumerate(zip(before, after, least.tolist(), most.tolist()))), np.int64, len(use))
+            own = code == np.arange(len(use))
+            several = np.zeros(len(use), bool)
+            several[code[~own]] = True
+            one = np.flatnonzero(own)
+            who, lo, hi = _merged(owner[~own], pos[~own] - most[~own], pos[~own] - least[~own])
+            columns = [found.key[use[one]], doc[owner[one]], h[owner[one]], pos[one].astype(np.int32), least[one].astype(np.int32), most[one].astype(np.int32), several[one]]
+            whole = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array([before[i] for i in one.tolist()], pa.binary()), pa.array([after[i] for i in one.tolist()], pa.binary())], names)
             for i in range(0, len(whole), 4000):
                 yield whole.slice(i, 4000)
+            if len(who):
+                columns = [h[who], doc[who], h[who], lo.astype(np.int32), np.zeros(len(who), np.int32), hi.astype(np.int32), np.zeros(len(who), bool)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary())], names)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +234,8 @@ def _matrix(column: pa.Array, width: int, backwards: bool = False) -> tuple[np.n
     return n, out
 
 
-def matches(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, before: pa.Array, after: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, kinds, and first and last beginnings, of the passages that sorted suffixes repeat."""
+def matches(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, several: np.ndarray, before: pa.Array, after: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, kinds, and first and last beginnings, of the passages that sorted suffixes repeat; ``several`` marks rows that stand for later places too."""
     n = len(doc)
     _, right = _matrix(after, PASSAGE)
     _, left = _matrix(before, SIDE, backwards=True)
@@ -222,7 +263,8 @@ def matches(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, least: np.ndarray,
         own = place[mine[by]]
         low, high = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start)
         of = np.cumsum(new) - 1
-        state[mine[by], extend + 1] = np.where(low[of] == high[of], -1, np.where(own == low[of], FIRST, LATER))
+        again = (low < high) | np.logical_or.reduceat(several[mine[by]], start)
+        state[mine[by], extend + 1] = np.where(again[of], np.where(own == low[of], FIRST, LATER), -1)
     out = []
     for kind in (LATER, FIRST):
         edge = np.diff((state == kind).astype(np.int8), axis=1)
@@ -238,8 +280,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: np.asarray(table.column(c).combine_chunks())
+        bare = np.asarray(table.column("after").combine_chunks().is_null())
+        if bare.any():
+            doc, h, lo, hi = (get(c)[bare] for c in ("doc", "h", "pos", "most"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(np.full(len(doc), LATER, np.int32)), pa.array(lo), pa.array(hi)], ["doc", "h", "kind", "lo", "hi"])
+            table = table.filter(pa.array(~bare))
+        if not len(table):
+            return
         doc, h = get("doc"), get("h")
-        rows, kind, lo, hi = matches(doc, h, get("pos").astype(np.int64), get("least"), get("most"), table.column("before").combine_chunks(), table.column("after").combine_chunks())
+        rows, kind, lo, hi = matches(doc, h, get("pos").astype(np.int64), get("least"), get("most"), get("several"), table.column("before").combine_chunks(), table.column("after").combine_chunks())
         for i in range(0, len(rows), 50_000):
             j = slice(i, i + 50_000)
             columns = [doc[rows[j]], h[rows[j]], kind[j].astype(np.int32), lo[j].astype(np.int32), hi[j].astype(np.int32)]
@@ -323,12 +372,12 @@ def _beside(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
     """The rows with what is known of their key; a hot key's rows are joined by several tasks."""
     known = known.withColumnRenamed(on, "__of").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__of_salt"))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc", "h"), F.lit(SALTS)).cast("int"))
-    return salted.join(known, (F.col(on) == F.col("__of")) & (F.col("__salt") == F.col("__of_salt"))).drop("__of", "__of_salt", "__salt")
+    return salted.join(known.hint("merge"), (F.col(on) == F.col("__of")) & (F.col("__salt") == F.col("__of_salt"))).drop("__of", "__of_salt", "__salt")
 
 
 def _with_wanted(rows: DataFrame, positions: DataFrame) -> DataFrame | None:
     """The texts with positions of theirs, of each text the first document, beside these; None if there are no positions."""
-    wanted = positions.groupBy(F.col("h").alias("k")).agg(F.min("doc").alias("d"), F.array_sort(F.collect_set("pos")).alias("wanted"))
+    wanted = positions.groupBy(F.col("h").alias("k")).agg(F.min("doc").alias("d"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("wanted"))
     wanted = _store.written(wanted, "wanted")
     if wanted.isEmpty():
         return None
@@ -384,16 +433,15 @@ def places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, h, start_word, end_word, is_first: the spans of documents by id (or a number for none) and text."""
     n = _store.partitions(docs.sparkSession)
     rows = _identified(docs)
-    kept = _store.written(rows.mapInArrow(_kept, "key long, doc long, h long, pos int"), "suffixes")
+    kept = _store.written(rows.mapInArrow(_kept, "key long, doc long, h long, pos array<int>"), "suffixes")
     # documents of one text are one: the one of least doc_id
-    pairs = kept.where("key IS NULL").select("doc", "h", F.col("pos").alias("n_words")).distinct()
+    pairs = kept.where("key IS NULL").select("doc", "h", F.get("pos", F.lit(0)).alias("n_words")).distinct()
     pairs = _store.written(pairs, "documents")
     copied = pairs.groupBy("h").agg(F.min("doc").alias("first"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     copied = _store.written(copied, "copied")
     kept = kept.where("key IS NOT NULL")
     # a run repeats where it stands in two texts or at two places of one
-    at = F.struct("h", "pos")
-    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi").select("key", "n")
+    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.size("pos")).alias("most")).where("lo < hi OR most > 1").select("key", "n")
     counts = _store.written(counts, "runs")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # no more than eight times the partitions' number have more than an eighth of a partition's suffixes: they go by a list, all others by a join
@@ -404,7 +452,7 @@ def places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     parts = []
     texts = _with_wanted(rows, known.where(F.col("n") <= hot).select("doc", "h", "pos"))
     if texts is not None:
-        windows = texts.mapInArrow(_windows, "key long, doc long, h long, pos int, least int, most int, before binary, after binary")
+        windows = texts.mapInArrow(_windows, _WINDOWS)
         windows = windows.repartition(n, "key").sortWithinPartitions("key", "after")
         parts.append(windows.mapInArrow(_compare, _PLACES))
     if not counts.where(F.col("n") > hot).isEmpty():

@@ -213,7 +213,7 @@ def repeated_texts(seed):
         for _ in range(rng.randrange(1, 4)):
             w += [word() for _ in range(rng.randrange(60))] + rng.choice(passages)[: rng.choice([None, None, 55])]
         out.append(" ".join(w))
-    return out + ["same " * 120, "same " * 150, "p q " * 70, "q p " * 80, "", None, out[0], out[1] + " more"]
+    return out + ["same " * 120, "same " * 150, "p q " * 70, "q p " * 80, "a b c d e f g h i j k l m n o p q r s t " * 12, "x " * 3 + "same " * 90 + "y " * 60, "", None, out[0], out[1] + " more"]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -399,7 +399,7 @@ def test_spans_by_words_and_not_by_hashes(spark, monkeypatch):
     order = sorted(range(len(after)), key=lambda i: (int(found.key[i]), after[i]))
     take = lambda x: np.asarray(x)[order]
     owner, pos = take(found.owner), take(found.pos)
-    r, kind, lo, hi = suffix.matches(owner, owner * 0, pos, take(found.least), take(found.most), pa.array([before[i] for i in order], pa.binary()), pa.array([after[i] for i in order], pa.binary()))
+    r, kind, lo, hi = suffix.matches(owner, owner * 0, pos, take(found.least), take(found.most), np.zeros(len(order), bool), pa.array([before[i] for i in order], pa.binary()), pa.array([after[i] for i in order], pa.binary()))
     got = defaultdict(set)
     for i, k, a, b in zip(r.tolist(), kind.tolist(), lo.tolist(), hi.tolist()):
         got[int(owner[i]), k == suffix.FIRST] |= set(range(a, b + 1))
