@@ -160,11 +160,13 @@ def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suf
 
 def _merged(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of each owner, those that overlap or touch as one."""
+    if not len(owner):
+        return owner, lo, hi
     order = np.lexsort((hi, lo, owner))
     owner, lo, hi = owner[order], lo[order], hi[order]
     shift = owner * (int(hi.max(initial=0)) + 2)
     reach = np.maximum.accumulate(hi + shift)
-    new = np.append(True, (lo + shift)[1:] > reach[:-1] + 1) if len(owner) else np.zeros(0, bool)
+    new = np.append(True, (lo + shift)[1:] > reach[:-1] + 1)
     new[1:] |= owner[1:] != owner[:-1]
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(owner)) - 1

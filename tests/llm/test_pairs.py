@@ -415,6 +415,12 @@ def test_spans_by_words_and_not_by_hashes(spark, monkeypatch):
     assert got == want
 
 
+def test_a_passage_without_copies_in_its_task(spark):
+    a = sentence(51, 200)
+    docs = spark.createDataFrame([(1, a), (2, "x " + a)], "doc_id long, text string").repartition(2, "doc_id")
+    assert {tuple(r) for r in suffix.spans(docs).collect()} == {(1, 0, 200, True), (2, 1, 201, False)}
+
+
 def test_copies_and_what_they_share_with_others(spark):
     a, b, c = sentence(31, 120), sentence(32, 90), sentence(33, 70)
     rows = [(5, a), (3, a), (9, a), (4, f"{c} {a} {c}"), (1, b), (7, b), (2, " ".join(a.split()[20:90])), (8, c), (6, "short text"), (10, "short text"), (11, a), (11, a)]
