@@ -1,23 +1,32 @@
 """Document fingerprints as homomorphic multiset hashes, by SQL functions alone.
 
-A paragraph (a line) is hashed to a wide vector: eight 32-bit lanes of the
-paragraph as it stands, and 64 one-bit lanes for each run of ``RUN_WORDS`` of
-its words, one beginning at every word (a shorter paragraph is one run).  A document's fingerprint is the sum of its
-paragraphs' vectors, each lane modulo 2**32.  So paragraphs can be added or
-taken away without the rest of the text (``add``, ``subtract``), their order
-does not count, and equal texts have equal fingerprints.  The one-bit lanes'
-sums estimate how much two texts share (``likeness``): with signs for bits, the
-mean square of the lanes' differences is that of the multisets' difference.
+A paragraph (a line) is hashed to a wide vector of eight 32-bit lanes, and a
+document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
+2**32.  So paragraphs can be added or taken away without the rest of the text
+(``add``, ``subtract``), their order does not count, and equal texts have equal
+fingerprints.
+
+For likeness a second vector is summed, sparse and with one coordinate for each
+run of ``RUN_WORDS`` of a paragraph's words (one begins at every word; a shorter
+paragraph is one run).  Of its 2**64 coordinates those are kept whose hash ends
+in ``level`` zero bits, the level being the least at which ``SAMPLE`` runs are
+expected at most; a run that occurs twice is listed twice, so this vector too
+can be added and subtracted.  ``likeness`` is the share of the distinct runs of
+two texts that both have (Jaccard), by the coordinates that both fingerprints
+keep: exact for texts of up to ``SAMPLE`` runs, with a standard error of
+sqrt(J (1 - J) / n), below 0.045, for longer ones, n >= SAMPLE / 2 being the
+runs kept of the longer text if they are distinct.
 
 A null text counts as empty; an empty text is one empty paragraph; documents of
-equal doc_id are ordered by text; a null doc_id comes after all others; a lone
-document is its own next one; an empty table gives an empty result; further
-columns of the input are ignored.
+equal doc_id are ordered by a hash of their text, then by text; a null doc_id
+comes after all others; a lone document is its own next one; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,72 +35,82 @@ from tarn.llm import _rows, _store
 
 #: Words of a paragraph that are hashed together for likeness.
 RUN_WORDS = 4
+#: Runs that a fingerprint is expected to keep at most.
+SAMPLE = 256
 SEEDS = (1, 2, 3, 4)
-LANE_PAIRS = 32
-_PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 #: SQL for the hashes of the runs of a line's word hashes w: one begins at each word that has enough after it.
 _RUNS = f"""CASE WHEN size(w) = 0 THEN CAST(array() AS ARRAY<BIGINT>) WHEN size(w) < {RUN_WORDS} THEN array(xxhash64(w))
          ELSE transform(sequence(0, size(w) - {RUN_WORDS}), i -> xxhash64({", ".join(f"w[i + {k}]" for k in range(RUN_WORDS))})) END"""
 
 
+def _level(n: str) -> str:
+    """SQL for the level of a text of n runs."""
+    return f"CAST(greatest(0, ceil(log2(greatest({n}, 1) / {SAMPLE}D))) AS INT)"
+
+
+def _at_level(runs: str, level: str) -> str:
+    """SQL for the runs that a level keeps."""
+    return f"filter({runs}, x -> (x & (shiftleft(1L, {level}) - 1L)) = 0L)"
+
+
 def fingerprint(text: str) -> Column:
-    """The fingerprint of a text column as a struct: exact (8 lanes), runs (their number), bits (32 pairs of lanes).
+    """The fingerprint of a text column as a struct: exact (8 lanes), n (all runs), level, and runs (hashes kept, ascending).
 
     Lambda variables bind what is used more than once, so it is computed once.
     """
     whole = ", ".join(f"transform(paragraphs, p -> xxhash64({s}, p))" for s in SEEDS)
     return F.expr(f"""
         transform(array(coalesce({text}, '')), t ->
-          named_struct(
-            'exact', flatten(transform(array(split(t, '\\n', -1)), paragraphs ->
-               flatten(transform(array({whole}), hs -> array(
-                 aggregate(hs, 0L, (a, h) -> (a + (h & {_LOW}L)) & {_LOW}L),
-                 aggregate(hs, 0L, (a, h) -> (a + shiftrightunsigned(h, 32)) & {_LOW}L)))))),
-            'bits', flatten(transform(array(flatten(transform(split(t, '\\n', -1), p ->
-               transform(array(transform(regexp_extract_all(p, '\\\\S+', 0), x -> xxhash64(x))), w -> {_RUNS})[0]))), hs ->
-               array_append(transform(sequence(0, {LANE_PAIRS - 1}), s ->
-                 aggregate(hs, 0L, (a, h) -> a + (shiftrightunsigned(h, s) & {_PAIR}L))), CAST(size(hs) AS BIGINT))))
-          ))[0]""")
+          transform(array(split(t, '\\n', -1)), paragraphs ->
+            transform(array(flatten(transform(paragraphs, p ->
+                transform(array(transform(regexp_extract_all(p, '\\\\S+', 0), x -> xxhash64(x))), w -> {_RUNS})[0]))), hs ->
+              named_struct(
+                'exact', flatten(transform(array({whole}), v -> array(
+                   aggregate(v, 0L, (a, h) -> (a + (h & {_LOW}L)) & {_LOW}L),
+                   aggregate(v, 0L, (a, h) -> (a + shiftrightunsigned(h, 32)) & {_LOW}L)))),
+                'n', CAST(size(hs) AS BIGINT),
+                'level', {_level("size(hs)")},
+                'runs', sort_array({_at_level("hs", _level("size(hs)"))})
+              ))[0])[0])[0]""")
 
 
-def _zip(a: Column, b: Column, f: str) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.lit(0).cast("long") + (x + y if f == "+" else x - y))
+def _lanes(a: Column, b: Column, sign: int) -> Column:
+    return F.zip_with(a["exact"], b["exact"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(_LOW).cast("long")))
+
+
+def _kept(runs: Column, level: Column) -> Column:
+    return F.filter(runs, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0)
 
 
 def add(a: Column, b: Column) -> Column:
     """The fingerprint of two documents' paragraphs together."""
-    exact = F.transform(_zip(a["exact"], b["exact"], "+"), lambda x: x.bitwiseAND(F.lit(_LOW).cast("long")))
-    return F.struct(exact.alias("exact"), _zip(a["bits"], b["bits"], "+").alias("bits"))
+    n = a["n"] + b["n"]
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / float(SAMPLE))), a["level"], b["level"]).cast("int")
+    return F.struct(_lanes(a, b, 1).alias("exact"), n.alias("n"), level.alias("level"), F.sort_array(_kept(F.concat(a["runs"], b["runs"]), level)).alias("runs"))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """The fingerprint of a without b's paragraphs, which a must hold."""
-    exact = F.transform(_zip(a["exact"], b["exact"], "-"), lambda x: x.bitwiseAND(F.lit(_LOW).cast("long")))
-    return F.struct(exact.alias("exact"), _zip(a["bits"], b["bits"], "-").alias("bits"))
+    """The fingerprint of a without b's paragraphs, which a must hold; its level stays that of a."""
+    level = F.greatest(a["level"], b["level"])
+    without = lambda held, x: F.concat(F.slice(held, F.lit(1), F.array_position(held, x).cast("int") - 1), F.slice(held, F.array_position(held, x).cast("int") + 1, F.size(held)))
+    rest = F.aggregate(_kept(b["runs"], level), _kept(a["runs"], level), without)
+    return F.struct(_lanes(a, b, -1).alias("exact"), (a["n"] - b["n"]).alias("n"), level.alias("level"), rest.alias("runs"))
 
 
 def as_string(fp: str) -> Column:
-    """A fingerprint column as lowercase hexadecimal digits."""
+    """A fingerprint column as lowercase hexadecimal digits: the lanes, the number of runs, and the SHA-256 of the runs kept."""
     return F.expr(f"""concat(
-        array_join(transform({fp}.exact, x -> lpad(lower(hex(x)), 8, '0')), ''),
-        array_join(transform({fp}.bits, x -> lpad(lower(hex(x)), 16, '0')), ''))""")
-
-
-def _power(a: str, b: str | None) -> str:
-    """SQL for the summed squares of the signed lanes of bits a, or of the difference of a and b."""
-    n = f"element_at({a}, {LANE_PAIRS + 1})" + (f" - element_at({b}, {LANE_PAIRS + 1})" if b else "")
-    low = f"({a}[i] & {_LOW}L)" + (f" - ({b}[i] & {_LOW}L)" if b else "")
-    high = f"shiftrightunsigned({a}[i], 32)" + (f" - shiftrightunsigned({b}[i], 32)" if b else "")
-    return f"aggregate(sequence(0, {LANE_PAIRS - 1}), CAST(0 AS DOUBLE), (s, i) -> s + power(2.0D * ({low}) - ({n}), 2) + power(2.0D * ({high}) - ({n}), 2))"
+        array_join(transform({fp}.exact, x -> lpad(lower(hex(x)), 8, '0')), ''), lpad(lower(hex({fp}.n)), 16, '0'),
+        sha2(CAST(array_join(transform({fp}.runs, x -> hex(x)), '') AS BINARY), 256))""")
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1: the estimated share of word runs that two fingerprints have in common; 1 if they are equal."""
-    x, y = f"{a}.bits", f"{b}.bits"
+    """0 to 1: the share of the distinct word runs of two texts that both have, by their fingerprints; 1 if these are equal."""
     return F.expr(f"""CASE WHEN {a} = {b} THEN 1.0D ELSE
-        transform(array({_power(x, None)} + {_power(y, None)}), whole ->
-          CASE WHEN whole = 0 THEN 0.0D ELSE greatest(0.0D, least(1.0D, 1.0D - {_power(x, y)} / whole)) END)[0] END""")
+        transform(array(greatest({a}.level, {b}.level)), level ->
+          transform(array({_at_level(f"{a}.runs", "level")}), x -> transform(array({_at_level(f"{b}.runs", "level")}), y ->
+            CASE WHEN size(x) + size(y) = 0 THEN 0.0D ELSE size(array_intersect(x, y)) / CAST(size(array_union(x, y)) AS DOUBLE) END)[0])[0])[0] END""")
 
 
 def _below(edges: list, column: str) -> str:
@@ -105,34 +124,52 @@ def _below(edges: list, column: str) -> str:
         k * {step} + coalesce(size(filter(get({fine}, k), e -> e < {column})), 0))[0]"""
 
 
-def in_order(docs: DataFrame, columns: list[str]) -> DataFrame:
+def in_order(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """docs with next_<column>: the values of the next document by descending doc_id (after the last: the first).
 
-    doc_id ranges of about equal counts are windows of their own; the first
+    Ranges of about equal counts are windows of their own: of doc_ids, and of
+    the texts' hashes for a doc_id (or none) that many documents have.  The first
     document of a range is also handed to the range before it.
     """
     parts = _store.partitions(docs.sparkSession)
     n = max(8 * min(parts, 1000), 2 * parts)
+    docs = docs.withColumn("text_hash", F.shiftrightunsigned(F.xxhash64(text), 1))
     shares = "array(" + ", ".join(f"{i / n}D" for i in range(1, n)) + ")"
-    edges = docs.agg(F.expr(f"percentile_approx(CAST(doc_id AS BIGINT), {shares}, {max(10000, 4 * n)})").alias("e")).first()["e"]
-    bucket = F.coalesce(F.expr(_below(sorted(set(edges or [])), "doc_id")), F.lit(0)).cast("int")
+    found = docs.agg(F.expr(f"percentile_approx(CAST(doc_id AS BIGINT), {shares}, {max(10000, 4 * n)})").alias("e"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    # a doc_id that is the edge of several ranges has as many of its own; so have documents without one
+    times = Counter(found["e"] or [])
+    edges = sorted(times)
+    without = max(1, round(n * (found["rows"] - found["ids"]) / max(1, found["rows"])))
+    own = [times[e] if times[e] > 1 else 0 for e in edges]
+    first = [without]
+    for k in own:
+        first.append(first[-1] + 1 + k)
+    longs = lambda values: "array(" + ", ".join(f"{v}L" for v in values) + ")"
+    part = lambda k: f"({k} - 1 - least({k} - 1, CAST(floor({k} * (text_hash / {float(1 << 63)!r}D)) AS BIGINT)))"
+    places = f"""transform(array(CAST({_below(edges, "doc_id")} AS INT)), b -> transform(array(get({longs([*own, 0])}, b)), k ->
+        get({longs(first)}, b) + CASE WHEN k > 1 AND doc_id = get({longs([*edges, 0])}, b) THEN 1 + {part("k")} ELSE 0 END)[0])[0]"""
+    bucket = F.expr(f"CASE WHEN doc_id IS NULL THEN {part(f'{without}L')} ELSE {places} END").cast("int")
     placed = docs.withColumn("bucket", bucket)
     # one row per range: their number depends on the partitions, not on the documents
-    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
+    top = F.max(F.struct("doc_id", F.bitwise_not("text_hash").alias("h")))
+    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(top.alias("head")).collect()}
     if not heads:
-        return placed.select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in columns))
+        return placed.select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in columns)).drop("text_hash")
     present = sorted(heads)
     goes = {b: present[(i + 1) % len(present)] for i, b in enumerate(present)}
     size = present[-1] + 1
-    head = F.expr("array(" + ", ".join(f"{heads[b]}L" if heads.get(b) is not None else "CAST(NULL AS BIGINT)" for b in range(size)) + ")")
+    id_of = lambda b: heads[b]["doc_id"] if b in heads else None
+    head = F.expr("array(" + ", ".join(f"{id_of(b)}L" if id_of(b) is not None else "CAST(NULL AS BIGINT)" for b in range(size)) + ")")
+    hashes = F.expr(longs(~heads[b]["h"] if b in heads else -1 for b in range(size)))
     to = F.expr("array(" + ", ".join(str(goes.get(b, 0)) for b in range(size)) + ")")
     at = F.col("bucket")
-    own = F.struct(at.alias("bucket"), F.lit(0).alias("guest"))
+    own_place = F.struct(at.alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.get(to, at).alias("bucket"), F.lit(1).alias("guest"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.get(head, at)), F.array(own, guest)).otherwise(F.array(own))
+    is_head = F.col("doc_id").eqNullSafe(F.get(head, at)) & (F.col("text_hash") == F.get(hashes, at))
+    copies = F.when(is_head, F.array(own_place, guest)).otherwise(F.array(own_place))
     rows = placed.select(*docs.columns, F.explode(copies).alias("place")).select(*docs.columns, "place.bucket", "place.guest")
-    window = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("guest = 0").drop("bucket", "guest")
+    window = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_hash", text)
+    return rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("guest = 0").drop("bucket", "guest", "text_hash")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
