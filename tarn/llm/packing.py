@@ -1,11 +1,12 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut at multiples of the capacity; full pieces are
-sequences of their own, what remains is cut into pieces of at most ``CUT`` ids.
-Groups of about ``WINDOWS`` windows' worth of pieces are divided into windows:
-partial partitions are merged largest difference first, the fullest window of
-one with the emptiest of the other, which ends in near-equal windows.  The
-window count rises by one whenever a window exceeds the capacity.
+sequences of their own, what remains stays whole.  Groups of about ``WINDOWS``
+windows' worth of such pieces are divided into windows: partial partitions are
+merged largest difference first, the fullest window of one with the emptiest of
+the other, which ends in near-equal windows.  What a window then has beyond the
+capacity is cut off its largest pieces and goes to the emptiest windows; where
+all windows together cannot hold a group, the window count rises.
 
 Every partition of the input packs what it holds, so nothing is shuffled, and
 a task that runs again packs the same pieces into its own sequences.
@@ -28,9 +29,8 @@ from pyspark.sql import DataFrame
 from tarn.llm import _rows, _text, _tokens
 
 CAPACITY = 2048
-CUT = 512
 WINDOWS = 96
-#: Ids that a group leaves free in each window, on average, for the windows' imbalance.
+#: Ids that a group leaves free in each window, on average.
 SLACK = 8
 
 
@@ -72,21 +72,43 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each item; as many windows as it takes to keep all within the capacity."""
+def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """Parts of the items as (item, start, length, window): near-equal windows within the capacity, items cut only where one exceeds it."""
     k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        window, sums = differencing(sizes, k)
-        if sums.max(initial=0) <= capacity:
-            return window
-        k += 1
+    window, sums = differencing(sizes, k)
+    own: list[list[int]] = [[] for _ in range(k)]
+    for i in np.argsort(sizes, kind="stable").tolist():  # the largest last
+        own[window[i]].append(i)
+    parts, tails = [], []
+    for w, items in enumerate(own):
+        excess = int(sums[w]) - capacity
+        while excess > 0:
+            i = items.pop()
+            size = int(sizes[i])
+            kept = max(0, size - excess)
+            tails.append((i, kept, size - kept))
+            if kept:
+                parts.append((i, 0, kept, w))
+            excess -= size - kept
+        parts += [(i, 0, int(sizes[i]), w) for i in items]
+    room = [(int(s), w) for w, s in enumerate(sums) if s < capacity]
+    heapq.heapify(room)
+    for i, start, length in sorted(tails, key=lambda t: -t[2]):
+        while length:
+            used, w = heapq.heappop(room)
+            size = min(length, capacity - used)
+            parts.append((i, start, size, w))
+            start, length = start + size, length - size
+            if used + size < capacity:
+                heapq.heappush(room, (used + size, w))
+    return parts
 
 
 class Packer:
     """Packs the documents of one partition; yields arrays of pieces as groups fill."""
 
-    def __init__(self, first_id: int, capacity: int = CAPACITY, cut: int = CUT, n_windows: int = WINDOWS, slack: int = SLACK) -> None:
-        self.next, self.capacity, self.cut = first_id, capacity, min(cut, capacity)
+    def __init__(self, first_id: int, capacity: int = CAPACITY, n_windows: int = WINDOWS, slack: int = SLACK) -> None:
+        self.next, self.capacity = first_id, capacity
         self.target = n_windows * (capacity - min(slack, capacity - 1))
         self.waiting: list[tuple[int, int, int]] = []  # document, start, length
         self.total = 0
@@ -100,7 +122,7 @@ class Packer:
             self.next += 1
         start = full
         while start < length:
-            size = min(self.cut, length - start, self.target - self.total)
+            size = min(length - start, self.target - self.total)
             self.waiting.append((doc, start, size))
             self.total += size
             start += size
@@ -111,12 +133,12 @@ class Packer:
     def flush(self) -> list[tuple[int, int, int, int, int]]:
         if not self.waiting:
             return []
-        window = windows(np.array([w[2] for w in self.waiting]), self.capacity)
         used: dict[int, int] = {}
         out = []
-        for (doc, start, length), w in zip(self.waiting, window.tolist()):
+        for i, begin, length, w in windows(np.array([w[2] for w in self.waiting]), self.capacity):
+            doc, start, _ = self.waiting[i]
             at = used.get(w, 0)
-            out.append((doc, start, length, w, at))
+            out.append((doc, start + begin, length, w, at))
             used[w] = at + length
         number = {w: self.next + i for i, w in enumerate(sorted(used))}
         self.next += len(used)

@@ -282,12 +282,28 @@ def test_packing(spark, awkward, nothing, tokenizer):
     assert sequences * packing.CAPACITY < 1.04 * tokens + packing.CAPACITY
 
 
+def test_few_documents_are_cut_and_little_is_padded(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), WORD_BPE).collect()
+    pieces = Counter(r["doc_id"] for r in got)
+    short = {r["doc_id"] for r in got if r["doc_tokens"] <= packing.CAPACITY}
+    cut = sum(pieces[d] > 1 for d in short)
+    padded = 1 - sum(r["length"] for r in got) / (packing.CAPACITY * len({r["sequence_id"] for r in got}))
+    print(f"{cut} of {len(short)} cut, {padded:.4f} padded")
+    assert cut < 0.15 * len(short) and padded < 0.02
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
 def test_differencing(sizes):
-    window = packing.windows(np.array(sizes), 64)
-    sums = np.bincount(window, weights=sizes)
-    assert sums.max() <= 64 and len(window) == len(sizes)
+    parts = packing.windows(np.array(sizes), 64)
+    sums = Counter()
+    covered = [Counter() for _ in sizes]
+    for item, start, length, window in parts:
+        assert length > 0
+        sums[window] += length
+        covered[item].update(range(start, start + length))
+    assert max(sums.values()) <= 64 and len(sums) <= -(-sum(sizes) // 64)
+    assert all(c == Counter(range(n)) for c, n in zip(covered, sizes))
 
 
 def test_differencing_is_near_equal():
