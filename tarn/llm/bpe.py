@@ -21,8 +21,10 @@ empty table gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +71,9 @@ _WIDE_SPACE = {
     0xE3: ((0x80, [0x80]),),
 }
 
+#: Stretches that are one match of the pattern, whatever stands before or after them: the pattern takes letters with the one space before them.
+_ONE = re.compile(r" [a-z]+").fullmatch
+
 #: Rows are (key, token, rank, nth): key is the word's number and the position, rank that of the token with the one after it, nth the step.
 #: One ordering of the rows a step serves both the contraction and the pairs that it makes.
 _ENCODE = """
@@ -241,20 +246,27 @@ class Coder:
 
     def _learn(self, keys: list[bytes]) -> None:
         """Remembers the ids and decoded bytes of stretches of text."""
-        matches = [self.pattern.findall(s.decode()) for s in keys]
-        new = list({w for m in matches for w in m if w not in self.words})
+        texts = [k.decode() for k in keys]
+        matches = [(t,) if _ONE(t) else self.pattern.findall(t) for t in texts]
+        known = self.words
+        new = list({w for m in matches for w in m if w not in known})
         if new:
-            self.words.update(zip(new, self.encode_words([w.encode() for w in new])))
-        at = len(self.stretches)
-        while len(self.ids) < at + len(keys):
+            known.update(zip(new, self.encode_words([w.encode() for w in new])))
+        at, n = len(self.stretches), len(keys)
+        while len(self.ids) < at + n:
             self.counts, self.ids, self.plain = (np.concatenate([x, np.empty_like(x)]) for x in (self.counts, self.ids, self.plain))
-        self.stretches.update(zip(keys, range(at, at + len(keys))))
-        for k, m in enumerate(matches, at):
+        self.stretches.update(zip(keys, range(at, at + n)))
+        counts, ids, plain = [], [], []
+        for m in matches:
             if len(m) == 1:
-                self.counts[k], self.ids[k], self.plain[k] = self.words[m[0]]
+                c, x, p = known[m[0]]
             else:
-                found = [self.words[w] for w in m]
-                self.counts[k], self.ids[k], self.plain[k] = sum(x[0] for x in found), ",".join([x[1] for x in found]), b"".join([x[2] for x in found])
+                found = [known[w] for w in m]
+                c, x, p = sum(f[0] for f in found), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])
+            counts.append(c)
+            ids.append(x)
+            plain.append(p)
+        self.counts[at : at + n], self.ids[at : at + n], self.plain[at : at + n] = counts, ids, plain
 
     def texts(self, column: pa.Array) -> list[tuple[int, list[str], list[bytes]]]:
         """For each text: the number of its ids, and the ids and decoded bytes of its stretches in order."""
@@ -279,12 +291,9 @@ class Coder:
         if new:
             self._learn(new)
         places = np.array([self.stretches[k] for k in keys], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-        counts = np.concatenate([[0], np.cumsum(self.counts[places])])
-        out = []
-        for i in range(len(off) - 1):
-            mine = places[chunk_off[i] : chunk_off[i + 1]]
-            out.append((int(counts[chunk_off[i + 1]] - counts[chunk_off[i]]), self.ids[mine].tolist(), self.plain[mine].tolist()))
-        return out
+        counts = np.concatenate([[0], np.cumsum(self.counts[places])])[chunk_off]
+        ids, plain, ends = self.ids[places].tolist(), self.plain[places].tolist(), chunk_off.tolist()
+        return [(n, ids[a:b], plain[a:b]) for n, a, b in zip(np.diff(counts).tolist(), ends, ends[1:])]
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -302,11 +311,12 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
+        gc.disable()  # a worker's memory holds a million tuples and no cycles
         for batch in batches:
             text = batch.column("text")
             for a, b in _text.pieces(text, 2 << 20):
                 found = own.texts(text.slice(a, b - a))
-                joined = [",".join(x for x in ids if x) for _, ids, _ in found]
+                joined = [",".join(filter(None, ids)) for _, ids, _ in found]
                 plain = [b"".join(raw) for _, _, raw in found]
                 columns = {
                     "doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array([n for n, _, _ in found], pa.int64()),
