@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from tarn.llm import _rows, _text
 
 #: Stretches and words that a worker remembers; beyond it either memory starts anew.
-MEMORY = 450_000
+MEMORY = 700_000
 #: Bytes of unmet words that one recursive query takes (or one longer word).
 ROUND = 1 << 19
 #: Rows that the recursion may hold: a word of n bytes has up to n * n / 2.
