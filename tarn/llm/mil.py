@@ -225,9 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     # the sample's bound is that of the ids that reach the driver and the scan
-    labelled = chosen.collect()
-    chosen = docs.sparkSession.createDataFrame(labelled, chosen.schema)
-    texts = _rows.texts(docs).where(F.col("doc_id").isin([r["id"] for r in labelled]))
+    ids = [r["id"] for r in chosen.collect()]
+    texts = _rows.texts(docs).where(F.col("doc_id").isin(ids))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

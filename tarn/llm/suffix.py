@@ -50,6 +50,9 @@ SALTS = 16
 #: Bytes of ids and spans to cut that may be broadcast; beyond it they and the texts are shuffled.
 BROADCAST_BYTES = 12 << 20
 
+#: Bytes of text that a task looks at at a time (or one longer text).
+PIECE = 1 << 20
+
 _NO_ID = np.iinfo(np.int64).max
 #: Kinds of rows of places: later occurrences, first ones, and all of a text that has copies.
 LATER, FIRST, ALL = 0, 1, 2
@@ -132,7 +135,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs that suffixes of each text begin with, each once, with their positions; a row without key has the number of words instead."""
     for batch in batches:
         text, ids, hs = (batch.column(c) for c in ("text", "doc", "h"))
-        for a, b in _text.pieces(text):
+        for a, b in _text.pieces(text, PIECE):
             found = Suffixes(text.slice(a, b - a))
             doc, h = np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a))
             order = np.lexsort((found.key, found.owner))
@@ -148,7 +151,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes, np.ndarray]]:
     """By pieces of a batch with wanted positions: ids, hashes, suffixes, and which of them are wanted."""
     text, ids, hs, wanted = (batch.column(c) for c in ("text", "doc", "h", "wanted"))
-    for a, b in _text.pieces(text):
+    for a, b in _text.pieces(text, PIECE):
         found = Suffixes(text.slice(a, b - a))
         if not len(found.at):
             continue
@@ -306,6 +309,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut >= 4000:
             yield from done(held.slice(0, cut))
             held = held.slice(cut)
+            _text.release()
     if held is not None and len(held):
         yield from done(held)
     _text.release()
