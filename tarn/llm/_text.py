@@ -73,7 +73,7 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def pieces(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text (or one longer row)."""
     _, off = as_bytes(column)
     a, n = 0, len(column)

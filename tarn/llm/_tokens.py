@@ -22,9 +22,9 @@ from tokenizers import Tokenizer
 from tarn.llm import _text
 
 #: Words that a worker remembers; beyond it the memory starts anew.
-MEMORY = 1_200_000
+MEMORY = 800_000
 #: Of them, pieces whose ids are kept by name.
-PIECES = 200_000
+PIECES = 100_000
 
 #: Letters whose lower case is one letter and which no normal form changes, then punctuation that no contraction begins with.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch

@@ -50,9 +50,6 @@ SALTS = 16
 #: Bytes of ids and spans to cut that may be broadcast; beyond it they and the texts are shuffled.
 BROADCAST_BYTES = 12 << 20
 
-#: Bytes of text that a task looks at at a time (or one longer text).
-PIECE = 1 << 20
-
 _NO_ID = np.iinfo(np.int64).max
 #: Kinds of rows of places: later occurrences, first ones, and all of a text that has copies.
 LATER, FIRST, ALL = 0, 1, 2
@@ -135,7 +132,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs that suffixes of each text begin with, each once, with their positions; a row without key has the number of words instead."""
     for batch in batches:
         text, ids, hs = (batch.column(c) for c in ("text", "doc", "h"))
-        for a, b in _text.pieces(text, PIECE):
+        for a, b in _text.pieces(text):
             found = Suffixes(text.slice(a, b - a))
             doc, h = np.asarray(ids.slice(a, b - a)), np.asarray(hs.slice(a, b - a))
             order = np.lexsort((found.key, found.owner))
@@ -151,7 +148,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes, np.ndarray]]:
     """By pieces of a batch with wanted positions: ids, hashes, suffixes, and which of them are wanted."""
     text, ids, hs, wanted = (batch.column(c) for c in ("text", "doc", "h", "wanted"))
-    for a, b in _text.pieces(text, PIECE):
+    for a, b in _text.pieces(text):
         found = Suffixes(text.slice(a, b - a))
         if not len(found.at):
             continue
@@ -206,8 +203,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who, lo, hi = _merged(owner[~own], pos[~own] - most[~own], pos[~own] - least[~own])
             columns = [found.key[use[one]], doc[owner[one]], h[owner[one]], pos[one].astype(np.int32), least[one].astype(np.int32), most[one].astype(np.int32), several[one]]
             whole = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array([before[i] for i in one.tolist()], pa.binary()), pa.array([after[i] for i in one.tolist()], pa.binary())], names)
-            for i in range(0, len(whole), 4000):
-                yield whole.slice(i, 4000)
+            for i in range(0, len(whole), 2000):
+                yield whole.slice(i, 2000)
             if len(who):
                 columns = [h[who], doc[who], h[who], lo.astype(np.int32), np.zeros(len(who), np.int32), hi.astype(np.int32), np.zeros(len(who), bool)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary())], names)
@@ -306,7 +303,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table if held is None else pa.concat_tables([held, table])
         key = np.asarray(held.column("key").combine_chunks())
         cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if cut >= 4000:
+        if cut >= 2000:
             yield from done(held.slice(0, cut))
             held = held.slice(cut)
             _text.release()
