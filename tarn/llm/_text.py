@@ -146,21 +146,27 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def windows(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte but the last seven, as one number."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+
+
 def _windows(buf: np.ndarray) -> np.ndarray:
     """The eight bytes that begin at each byte, as one number; zeros follow the last byte."""
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = buf
-    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    return windows(padded)
 
 
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether spans of equal lengths in two buffers hold equal bytes."""
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray, padded: bool = False) -> np.ndarray:
+    """Whether spans of equal lengths in two buffers hold equal bytes; ``padded``: eight bytes or more follow the second one's spans."""
     out = np.ones(len(length), bool)
     live = np.flatnonzero(length)
-    a8, b8 = _windows(a), _windows(b)
+    a8 = _windows(a)
+    b8 = a8 if b is a else windows(b) if padded else _windows(b)
     at = 0
     while len(live) > 16 or len(live) and at < 64:
         left = length[live] - at

@@ -108,7 +108,7 @@ class WordCoder:
         total, size, k = int(lengths.sum()), int(sizes.sum()), self.count
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.raw) < self.raw_used + size:
+        while len(self.raw) < self.raw_used + size + 8:
             self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         while len(self.starts) < k + len(keys):
             for name in ("starts", "lengths", "raw_starts", "raw_lengths"):
@@ -132,9 +132,9 @@ class WordCoder:
             fresh &= self.keys[near] != keys
         for i in np.flatnonzero(~fresh).tolist():
             self.odd[words[i]] = int(places[i])
-        all_keys = np.concatenate([self.keys, keys[fresh]])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.at = all_keys[order], np.concatenate([self.at, places[fresh]])[order]
+        order = np.flatnonzero(fresh)[np.argsort(keys[fresh])]
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys, self.at = np.insert(self.keys, where, keys[order]), np.insert(self.at, where, places[order])
         return places
 
     def _known(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ class WordCoder:
         length = ends[hit] - starts[hit]
         same = length == self.raw_lengths[at]
         check = np.flatnonzero(same)
-        same[check] = _text.same_spans(buf, starts[hit[check]], self.raw, self.raw_starts[at[check]], length[check])
+        same[check] = _text.same_spans(buf, starts[hit[check]], self.raw, self.raw_starts[at[check]], length[check], padded=True)
         places[hit[same]] = at[same]
         for i in hit[~same].tolist():
             places[i] = self.odd.get(buf[starts[i] : ends[i]].tobytes(), -1)
