@@ -12,8 +12,8 @@ task that runs again writes a new file, and only the manifest, which Spark
 commits, says which files count.
 
 Documents ascend by doc_id (null first); equal doc_ids are ordered by text.  A
-null text counts as empty and has the end id alone.  An empty table writes no
-file and reads back empty.
+null text counts as empty and has the end id alone; a doc_id that is no integer is an
+error.  An empty table writes no file and reads back empty.
 """
 
 from __future__ import annotations
@@ -243,6 +243,7 @@ def write(docs: DataFrame, tokenizer: str, directory: str, end: int = 2) -> list
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([path]), pa.array([sum(map(len, writer.counts))], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
 
+    _rows.long_ids(docs)
     rows = _rows.texts(docs).repartitionByRange(_store.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
     manifest = _store.written(rows.mapInArrow(written, "part long, path string, n_docs long, n_ids long"), "s8b-manifest")
