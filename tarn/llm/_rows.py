@@ -13,15 +13,20 @@ from pyspark.sql import types as T
 from tarn.llm import _text
 
 
-#: Rows of an Arrow batch where the session leaves it at Spark's default: texts are long.
-BATCH_ROWS = "2000"
+#: Spark's defaults of rows and bytes of an Arrow batch and of rows that a Parquet reader holds, and what they are here: texts are long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2m"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
 def small_batches(docs: DataFrame) -> None:
-    """Texts reach Python in batches of fewer rows than Spark's default, unless the session has set a number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if docs.sparkSession.conf.get(name) == "10000":
-        docs.sparkSession.conf.set(name, BATCH_ROWS)
+    """Texts are read and reach Python in smaller batches than Spark's default, unless the session has set others."""
+    conf = docs.sparkSession.conf
+    for name, (default, own) in BATCHES.items():
+        if conf.get(name) == default:
+            conf.set(name, own)
 
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

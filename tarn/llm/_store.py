@@ -14,6 +14,9 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: a task that writes or reads a table holds one of them.
+ROW_GROUP = 8 << 20
+
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -60,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table

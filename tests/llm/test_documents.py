@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 import public_tokenizers
 import tiktoken
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarn.llm import _store, _text, _tokens, bpe, mil, multiset, packing, queries, rules, simple8b
+from tarn.llm import _rows, _store, _text, _tokens, bpe, mil, multiset, packing, queries, rules, simple8b
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -529,3 +530,32 @@ def test_distinct_spans(spans):
     assert all(spans[f] == spans[i] for i, f in enumerate(first[codes].tolist()))
     runs = _text.gram_codes(codes, 3)
     assert all((runs[i] == runs[j]) == (spans[i : i + 3] == spans[j : j + 3]) for i in range(len(runs)) for j in range(len(runs)))
+
+
+# memory
+
+
+def test_long_texts_come_in_small_batches(spark):
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', 100 + id, ' '), 4000)").alias("text"))
+    size = lambda column: {"size": np.full(len(column), column.buffers()[2].size)}
+    most, total = _rows.with_measures(docs, size, ("size",)).agg(F.max("size"), F.sum(F.length("row.text"))).first()
+    assert total == 600 * 20_000 and most < 4 << 20
+
+
+def test_readers_hold_fewer_rows_unless_the_session_says(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(name)
+    _rows.small_batches(spark.range(1))
+    assert spark.conf.get(name) == "512"
+    spark.conf.set(name, "1000")
+    _rows.small_batches(spark.range(1))
+    assert spark.conf.get(name) == "1000"
+    spark.conf.unset(name)
+
+
+def test_written_tables_have_small_row_groups(spark):
+    long = spark.range(0, 3000, 1, 1).select("id", F.expr("concat_ws('', transform(sequence(1, 80), i -> sha2(concat(id, '.', i), 512)))").alias("text"))
+    table = _store.written(long, "groups")
+    groups = [g for f in ds.dataset(table.inputFiles()[0]).get_fragments() for g in f.row_groups]
+    assert table.count() == 3000 and max(g.total_byte_size for g in groups) < 16 << 20
+    _store.forget(table)
