@@ -15,6 +15,9 @@ from tarn.llm import _store, forest, mil, packing, queries, rules, suffix
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Words that a worker of the last stage remembers: executors have been through four others by then.
+MEMORY = 300_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
@@ -39,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids as pieces of sequences."""
-    return packing.pack(docs, public_tokenizers.path(queries.WORD_BPE), end=1)
+    return packing.pack(docs, public_tokenizers.path(queries.WORD_BPE), end=1, memory=MEMORY)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -9,16 +9,17 @@ byte-level splitting is exact for UTF-8.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,8 +74,25 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: What makes this worker forget a memory, and the stage that used that memory last.
+_memories: dict[Callable[[], None], int] = {}
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def remembers(forget: Callable[[], None]) -> None:
+    """The present stage uses a memory; it lasts until this worker takes texts of a stage that does not."""
+    _memories[forget] = _stage()
+
+
+def pieces(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text (or one longer row)."""
+    for forget in [f for f, stage in _memories.items() if stage != _stage()]:
+        del _memories[forget]
+        forget()
     _, off = as_bytes(column)
     a, n = 0, len(column)
     while a < n:

@@ -23,8 +23,8 @@ from tarn.llm import _text
 
 #: Words that a worker remembers; beyond it the memory starts anew.
 MEMORY = 800_000
-#: Of them, pieces whose ids are kept by name.
-PIECES = 100_000
+#: One piece for as many of them has its ids kept by name.
+WORDS_A_PIECE = 8
 
 #: Letters whose lower case is one letter and which no normal form changes, then punctuation that no contraction begins with.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -45,13 +45,14 @@ def _visible_bytes() -> dict[int, str]:
 
 _VISIBLE = _visible_bytes()
 
-_coders: dict[str, WordCoder] = {}
+_coders: dict[tuple[str, int], WordCoder] = {}
 
 
 class WordCoder:
     """Encodes string columns to flat ids with offsets."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -100,7 +101,7 @@ class WordCoder:
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Remembers new words; gives their places."""
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > self.memory // WORDS_A_PIECE:
             self.pieces = {}
         found = self._library([w.decode() for w in words])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -164,7 +165,7 @@ class WordCoder:
         places = self._known(keys, buf, starts, ends)
         new = np.flatnonzero(places < 0)
         if len(new):
-            if self.count + len(new) > MEMORY:
+            if self.count + len(new) > self.memory:
                 self._forget()
                 new = np.arange(len(first))
             raw = buf.tobytes()
@@ -178,11 +179,16 @@ class WordCoder:
         return np.insert(ids, per[1:], end), per + np.arange(len(per))
 
 
-def coder(path: str) -> WordCoder:
-    """This worker's coder for a tokenizer file."""
-    if path not in _coders:
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+def _forget_coders() -> None:
+    _coders.clear()
+
+
+def coder(path: str, memory: int = MEMORY) -> WordCoder:
+    """This worker's coder for a tokenizer file, which remembers so many words."""
+    _text.remembers(_forget_coders)
+    if (path, memory) not in _coders:
+        _coders[path, memory] = WordCoder(path, memory)
+    return _coders[path, memory]
 
 
 def crc32_of(ids: np.ndarray) -> int:

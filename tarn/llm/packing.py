@@ -146,11 +146,11 @@ class Packer:
         return [(d, s, n, number[w], at) for d, s, n, w, at in out]
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False, memory: int = _tokens.MEMORY) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids); a worker remembers ``memory`` words."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokens.coder(tokenizer)
+        coder = _tokens.coder(tokenizer, memory)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity)
         held: dict[int, tuple[object, np.ndarray, int]] = {}  # documents with pieces that wait
         count = 0

@@ -109,7 +109,7 @@ class Suffixes:
         flat = np.full(int(self.begin[-1]), 0x20, np.uint8)
         inside = np.ones(len(flat), bool)
         inside[self.begin[1:] - 1] = False
-        flat[inside] = self.buf[_text.ragged(self.ws, length - 1)]
+        flat[inside] = self.buf[~_text.IS_SPACE[self.buf]]
         self.raw = flat.tobytes()
 
     def words(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
@@ -148,7 +148,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes, np.ndarray]]:
     """By pieces of a batch with wanted positions: ids, hashes, suffixes, and which of them are wanted."""
     text, ids, hs, wanted = (batch.column(c) for c in ("text", "doc", "h", "wanted"))
-    for a, b in _text.pieces(text):
+    for a, b in _text.pieces(text, 1 << 20):  # the more at once, the more suffixes with the same words are one row
         found = Suffixes(text.slice(a, b - a))
         if not len(found.at):
             continue
@@ -521,6 +521,7 @@ def remove_repeats(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
                     old = columns[length].to_pylist()
                     columns[length] = pa.array([o if not c else len(t or "") for o, c, t in zip(old, pairs, new)], columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, held)
+            _text.release()
 
     schema = T.StructType([T.StructField(c, f.dataType, True) for c, f in zip(held, docs.schema)])
     return joined.mapInArrow(rows, schema).toDF(*names)

@@ -559,3 +559,25 @@ def test_written_tables_have_small_row_groups(spark):
     groups = [g for f in ds.dataset(table.inputFiles()[0]).get_fragments() for g in f.row_groups]
     assert table.count() == 3000 and max(g.total_byte_size for g in groups) < 16 << 20
     _store.forget(table)
+
+
+def test_a_worker_forgets_words_when_another_stage_begins(monkeypatch):
+    stage = [1]
+    monkeypatch.setattr(_text, "_stage", lambda: stage[0])
+    texts = pa.array(["one two", "three"])
+    mine = _tokens.coder(WORD_BPE)
+    list(_text.pieces(texts))
+    assert _tokens.coder(WORD_BPE) is mine
+    stage[0] = 2
+    list(_text.pieces(texts))
+    assert not _tokens._coders
+
+
+def test_a_smaller_memory_of_words_gives_the_same_ids():
+    texts = pa.array([" ".join(f"w{i * 37 % 900}x" for i in range(k, k + 300)) for k in range(0, 3000, 100)] + [None, "it's 日本"])
+    small, large = _tokens.WordCoder(WORD_BPE, 700), _tokens.WordCoder(WORD_BPE)
+    for a in range(0, len(texts), 4):
+        (ids, off), (same, ends) = (c.encode(texts.slice(a, 4), 1) for c in (small, large))
+        assert ids.tolist() == same.tolist() and off.tolist() == ends.tolist()
+        assert small.count <= 700
+    assert large.count > 700
