@@ -30,6 +30,8 @@ from tarn.llm import _rows, _store, _text, _tokens
 
 MAGIC = b"TARNS8B1"
 BLOCK = 1024
+#: Words that a worker remembers: the texts that one takes here have more than the coder's default, and words met anew cost most.
+MEMORY = 2_000_000
 #: Fixed values of the coding: selector -> (bits of a value, values in a word); selector 0 is the escape.
 WIDTHS = {2: (1, 60), 3: (2, 30), 4: (3, 20), 5: (4, 15), 6: (5, 12), 7: (6, 10), 8: (7, 8), 9: (8, 7), 10: (10, 6), 11: (12, 5), 12: (15, 4), 13: (20, 3), 14: (30, 2), 15: (60, 1)}
 ESCAPE = 0
@@ -230,7 +232,7 @@ def write(docs: DataFrame, tokenizer: str, directory: str, end: int = 2) -> list
     spark = docs.sparkSession
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer = _tokens.coder(tokenizer), None
+        coder, writer = _tokens.coder(tokenizer, MEMORY), None
         for batch in batches:
             text, ids_of = batch.column("text"), batch.column("doc_id")
             for a, b in _text.pieces(text):

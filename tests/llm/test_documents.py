@@ -581,3 +581,38 @@ def test_a_smaller_memory_of_words_gives_the_same_ids():
         assert ids.tolist() == same.tolist() and off.tolist() == ends.tolist()
         assert small.count <= 700
     assert large.count > 700
+
+
+def test_simple8b_remembers_more_words_than_the_default(monkeypatch, tokenizer):
+    asked, make = [], _tokens.coder
+
+    def noted(path, memory=_tokens.MEMORY):
+        asked.append(make(path, memory))
+        return asked[-1]
+
+    class Rows:
+        """Stands for the sorted rows: write() gets no further than one worker's pass over a batch."""
+
+        sparkSession = None
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, f, schema):
+            list(f(iter([])))
+            return self
+
+    monkeypatch.setattr(_tokens, "coder", noted)
+    monkeypatch.setattr(_rows, "texts", lambda docs: docs)
+    monkeypatch.setattr(_rows, "long_ids", lambda docs: None)
+    monkeypatch.setattr(_store, "partitions", lambda spark: 1)
+    monkeypatch.setattr(_store, "written", lambda df, name: df)
+    monkeypatch.setattr(Rows, "collect", lambda self: [], raising=False)
+    monkeypatch.setattr(simple8b.F, "spark_partition_id", Rows)
+    assert simple8b.write(Rows(), WORD_BPE, "unused") == []
+    (coder,) = asked
+    coder.encode(pa.array(["alpha beta"]))
+    coder.count = 1_200_000  # as after some 90 MB of texts
+    coder.encode(pa.array(["gamma"]))
+    assert coder.count == 1_200_001
+    _tokens._forget_coders()
