@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarn import surface
 from tarn.functions import arithmetic, compat
-from tarn.operators import pagerank, partitioning, regression
+from tarn.operators import distinct, pagerank, partitioning, regression
 from tarn.plans import pruning, query, stats
 from tarn.sources import files, sqlite
 from tarn.streaming import cumulative
@@ -232,6 +232,17 @@ def salted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.salted_sum(df, ["l_returnflag"], "qty").select("l_returnflag", F.col("sum_qty").cast("double").alias("sum_qty"))
 
 
+def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of ``surface.PAIRS``, its exact distinct count taken apart from the rest."""
+    part, quantity, known = F.col("l_partkey"), F.col("l_quantity"), F.col("known")
+    found = distinct.counted_apart(
+        table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_partkey", "known", F.approx_count_distinct(part).alias("sketched"),
+        F.percentile_approx(quantity, 0.5).alias("a50"), F.median(quantity).alias("e50"), F.percentile_approx(quantity, 0.9).alias("a90"), F.percentile(quantity, 0.9).alias("e90"),
+    )
+    near = lambda a, e, most: F.abs(F.col(a) - F.col(e)) <= most
+    return found.select("l_returnflag", near("sketched", "known", known * 0.1).alias("near"), near("a50", "e50", 1).alias("near_median"), near("a90", "e90", 1).alias("near_p90"))
+
+
 def ols_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = regression.fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
     return fitted.select("coefficient_idx", F.round("value", 4).alias("value"))
@@ -324,6 +335,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "hash_partition": (hash_partition, "SELECT o_custkey, count(1) AS n, CAST(1 AS BIGINT) AS n_partitions FROM orders GROUP BY o_custkey"),
     "broadcast_hint": (broadcast_hint, "SELECT n_name, count(1) AS n_suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
     "salted_sum": (salted_sum, "SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS sum_qty FROM lineitem GROUP BY l_returnflag"),
+    "agg_approx_distinct": (agg_approx_distinct, surface.PAIRS["agg_approx_distinct"][1]),
     "ols_lineitem": (ols_lineitem, """WITH s AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS d, sum(l_quantity * l_extendedprice) AS p, sum(l_discount * l_extendedprice) AS q FROM lineitem)
         SELECT CAST(0 AS BIGINT) AS coefficient_idx, round((p * d - b * q) / (a * d - b * b), 4) AS value FROM s UNION ALL SELECT CAST(1 AS BIGINT), round((a * q - b * p) / (a * d - b * b), 4) FROM s"""),
     "pagerank_step": (pagerank_step, "WITH d AS (SELECT l_suppkey AS k, count(1) AS n FROM lineitem GROUP BY l_suppkey) SELECT l_partkey AS target, round(0.15 + 0.85 * sum(1.0::DOUBLE / n), 9) AS rank FROM lineitem JOIN d ON k = l_suppkey GROUP BY l_partkey"),
