@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm import _text
-
+from tarn.llm import _store, _text
 
 #: Spark's defaults of rows and bytes of an Arrow batch and of rows that a Parquet reader holds, and what they are here: texts are long.
 BATCHES = {
@@ -21,12 +20,20 @@ BATCHES = {
 }
 
 
+#: Bytes of a row group in what a session writes; Parquet's default of 128 MB is held by each task that writes a result.
+BLOCK_SIZE = "parquet.block.size"
+
+
 def small_batches(docs: DataFrame) -> None:
-    """Texts are read and reach Python in smaller batches than Spark's default, unless the session has set others."""
-    conf = docs.sparkSession.conf
+    """Texts are read, reach Python and are written in smaller batches than by default, unless the session has set others."""
+    spark = docs.sparkSession
+    conf = spark.conf
     for name, (default, own) in BATCHES.items():
         if conf.get(name) == default:
             conf.set(name, own)
+    # whoever writes what an operator returns does it with the session's settings
+    if conf.get(BLOCK_SIZE, None) is None and spark.sparkContext._jsc.hadoopConfiguration().get(BLOCK_SIZE) is None:
+        conf.set(BLOCK_SIZE, str(_store.ROW_GROUP))
 
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

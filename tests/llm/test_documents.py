@@ -561,6 +561,19 @@ def test_written_tables_have_small_row_groups(spark):
     _store.forget(table)
 
 
+def test_results_are_written_in_small_row_groups_unless_the_session_says(spark, tmp_path):
+    """A stage's rows are written by whoever takes them: with row groups of 128 MB a heap of 1 GB ends in an error."""
+    long = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat_ws('', transform(sequence(1, 80), i -> sha2(concat(id, '.', i), 512)))").alias("text"))
+    spark.conf.unset("parquet.block.size")
+    _rows.keep_where(long, lambda column: np.ones(len(column), bool)).write.parquet(str(tmp_path / "kept"))
+    groups = [g for f in ds.dataset(str(tmp_path / "kept")).get_fragments() for g in f.row_groups]
+    assert sum(g.num_rows for g in groups) == 3000 and max(g.total_byte_size for g in groups) < 16 << 20
+    spark.conf.set("parquet.block.size", "1000000")
+    _rows.small_batches(long)
+    assert spark.conf.get("parquet.block.size") == "1000000"
+    spark.conf.unset("parquet.block.size")
+
+
 def test_a_worker_forgets_words_when_another_stage_begins(monkeypatch):
     stage = [1]
     monkeypatch.setattr(_text, "_stage", lambda: stage[0])
